@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import blocks
 from .bpe import CachedEncoder
 from .common import partitions, written
-from .token_files import _blocks
 
 PIECES = "doc_id long, copy int, piece int, start long, length long, ids_crc32 long"
 
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         encoder = CachedEncoder.load(tokenizer)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
-            for block in _blocks(batch, 1):
+            for block in blocks(batch, 1):
                 rows = []
                 for doc, ids in zip(block.column(0).to_pylist(), encoder.encode(block.column(1).to_pylist())):
                     ids = np.frombuffer(ids + end, dtype=encoder.dtype).astype("<u4")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import decontamination, packing, quality, token_counts, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -22,9 +22,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, vocab_size=50_257)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_documents(spark, sf_dir))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_token_files": op2_token_files, "op7_best_fit_packing": op7_best_fit_packing}
+QUERIES = {f.__name__: f for f in (op2_token_files, op4_token_counts, op5_quality_rules, op7_best_fit_packing, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

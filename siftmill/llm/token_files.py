@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import blocks
 from .bpe import CachedEncoder
 from .common import shared_dir
 
@@ -26,16 +26,6 @@ MANIFEST = "part int, n_null long, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, part int"
 
 
-def _blocks(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each, so that memory stays bounded."""
-    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, text: str = "text") -> str:
     """Encodes every text, appends ``end_id``, writes the files in ascending ``doc_id`` order; returns the folder.
 
@@ -53,7 +43,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder:
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         ids, lengths, nulls, out = [], [], 0, None
         for batch in batches:
-            for block in _blocks(batch, 1):
+            for block in blocks(batch, 1):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/tmp-{own}-ids")
