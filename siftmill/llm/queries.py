@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, token_counts, token_files
+from . import decontamination, jaccard, packing, quality, token_counts, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -22,6 +22,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, vocab_size=50_257)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -38,5 +42,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_token_counts, op5_quality_rules, op7_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op7_best_fit_packing, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
