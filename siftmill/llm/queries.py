@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, packing, quality, token_counts, token_files
+from . import chat, decontamination, jaccard, licenses, packing, quality, token_counts, token_files
+from .common import written
 
 
 def _tokenizer(name: str) -> str:
@@ -38,9 +39,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(own)
+    return chat.digests(written(chat.format_trees(chat.turn_chain(rows)), "formatted"))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op7_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op9_license_scans, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
