@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard, licenses, packing, quality, token_counts, token_files
+from . import chat, decontamination, jaccard, licenses, packing, passages, quality, token_counts, token_files
 from .common import written
 
 
@@ -46,6 +46,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.format_trees(chat.turn_chain(rows)), "formatted"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, sf_dir)).drop("node")
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_documents(spark, sf_dir))
 
@@ -54,5 +58,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op9_license_scans, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op8_substring_dedup, op9_license_scans, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
