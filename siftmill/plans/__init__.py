@@ -1,4 +1,4 @@
 """Every registered query of the library and its DuckDB text."""
 
-from . import analytics, hygiene, retrieval, texts  # noqa: F401
+from . import analytics, flows, hygiene, retrieval, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -20,11 +20,12 @@ def folder_files(spark: SparkSession, folder: str, suffixes: Sequence[str] = SUF
     return files.withColumn("suffix", suffix).withColumn("accepted", F.col("suffix").isin(*suffixes))
 
 
-def text_files(spark: SparkSession, path: str, language: Column | None = None) -> DataFrame:
-    """One row per file: title, text, char_count, language of the first 1,000 characters."""
+def text_files(spark: SparkSession, path: str, language: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per file: title, text, char_count, language of the first 1,000 characters; ``extra`` names partition columns."""
     from ..functions.text import script_language
 
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("title"), F.col("value").alias("text"))
+    reader = spark.read if extra else spark.read.option("recursiveFileLookup", "true")
+    rows = reader.text(path, wholetext=True).select(*extra, F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("title"), F.col("value").alias("text"))
     return rows.withColumn("char_count", F.length("text")).withColumn("language", language if language is not None else script_language(F.col("text"), 1000))
 
 
