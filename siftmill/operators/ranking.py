@@ -151,7 +151,7 @@ def pack_context(ranked: DataFrame, text: str, score: str, budget: int = 7200, s
     return packed.select("query_id", "n_chunks", F.array_join("p.piece", "\n---\n").alias("context"))
 
 
-def lsh_neighbours(corpus: DataFrame, queries: DataFrame, n: int, dims: int, tables: int = 16, bits: int = 6, seed: int = 42) -> DataFrame:
+def lsh_neighbours(corpus: DataFrame, queries: DataFrame, n: int, dims: int, tables: int = 24, bits: int = 4, seed: int = 42) -> DataFrame:
     """Approximate nearest vectors: random-hyperplane signs in ``tables`` bands, an equi-join, and exact scores."""
     planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
 

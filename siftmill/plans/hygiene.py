@@ -12,7 +12,8 @@ from .registry import Tables, query
 VOCABULARY = ["the", "and", "of", "tion", "que"]
 _WORDS = r"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda x: x <> ''))"
 W = _WORDS.format(t="text")
-EXEMPT = F.col("source") == "src0"
+def exempt():
+    return F.col("source") == "src0"
 
 
 @query("filter_metadata", "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')")
@@ -55,7 +56,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("clean_short", f"SELECT doc_id FROM documents WHERE {W} >= 20 OR source = 'src0'")
 def _(t: Tables) -> DataFrame:
-    return filters.drop_short(t.documents, "text", EXEMPT).select("doc_id")
+    return filters.drop_short(t.documents, "text", exempt()).select("doc_id")
 
 
 _LETTERS = r"length(regexp_replace(text, '[^a-zA-Z\x{0600}-\x{06FF} ]', '', 'g'))"
@@ -63,7 +64,7 @@ _LETTERS = r"length(regexp_replace(text, '[^a-zA-Z\x{0600}-\x{06FF} ]', '', 'g')
 
 @query("clean_alpha_ratio", f"SELECT doc_id, {_LETTERS} AS letters FROM documents WHERE NOT ({_LETTERS} < length(text) * 0.8 AND length(text) > 50) OR source = 'src0'")
 def _(t: Tables) -> DataFrame:
-    return filters.drop_low_letters(t.documents, "text", EXEMPT, 0.8).select("doc_id", F.length(X.letters_only(F.col("text"))).cast("long").alias("letters"))
+    return filters.drop_low_letters(t.documents, "text", exempt(), 0.8).select("doc_id", F.length(X.letters_only(F.col("text"))).cast("long").alias("letters"))
 
 
 @query("clean_blank", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
@@ -224,8 +225,8 @@ c AS (SELECT * FROM b WHERE doc_id IN (SELECT min(doc_id) FROM b GROUP BY md5(te
 SELECT 0 AS step, 'all' AS name, count(*) AS rows_left FROM documents UNION ALL SELECT 1, 'short', count(*) FROM a UNION ALL SELECT 2, 'letters', count(*) FROM b UNION ALL SELECT 3, 'exact', count(*) FROM c
 UNION ALL SELECT 4, 'near', count(*) FROM d UNION ALL SELECT 5, 'blank', count(*) FROM e""")
 def _(t: Tables) -> DataFrame:
-    a = filters.drop_short(t.documents, "text", EXEMPT)
-    b = filters.drop_low_letters(a, "text", EXEMPT)
+    a = filters.drop_short(t.documents, "text", exempt())
+    b = filters.drop_low_letters(a, "text", exempt())
     c = joins.keep_first(b, [F.md5("text"), F.col("lang")], [F.col("doc_id")])
     d = c.join(joins.near_duplicates(c, "doc_id", "text", ["lang"]), "doc_id", "left_anti")
     e = filters.drop_blank(d, "text")
