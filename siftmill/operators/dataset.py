@@ -34,12 +34,27 @@ def ratio_split(df: DataFrame, key: str, seed: str, percent: int) -> DataFrame:
     return df.withColumn("split", F.when(X.hash_bucket(F.col(key).cast("string"), seed) < percent, "train").otherwise("val"))
 
 
+def numbered(df: DataFrame, bucket: Column, order: Sequence[str]) -> DataFrame:
+    """Adds ``line_no`` from 0 in a global order of which ``bucket`` is the coarse part.
+
+    Rows are ranked in their bucket and shifted by the rows of the buckets before; only the table of bucket
+    sizes is ordered as a whole, so no task holds more than a bucket.
+    """
+    d = df.withColumn("_bucket", bucket)
+    sizes = d.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    d = d.withColumn("_place", place).join(sizes.select("_bucket", before.alias("_before")), "_bucket")
+    return d.withColumn("line_no", F.col("_place") + F.col("_before")).drop("_bucket", "_place", "_before")
+
+
 def exact_holdout(df: DataFrame, key: str, seed: str, share: float, least: int) -> DataFrame:
     """Adds ``split``: exactly ``max(share, least)`` rows are val, those first in the seeded order."""
     n = df.count()
     size = min(n, max(int(n * share), least))
-    val = df.select(key, seeded(F.col(key), seed).alias("_h")).orderBy("_h", key).limit(size).select(key, F.lit("val").alias("_s"))
-    return df.join(val, key, "left").withColumn("split", F.coalesce("_s", F.lit("train"))).drop("_s")
+    d = df.withColumn("_h", seeded(F.col(key), seed))
+    d = numbered(d, F.substring("_h", 1, 3), ["_h", key])  # 4,096 even buckets
+    return d.withColumn("split", F.when(F.col("line_no") < size, "val").otherwise("train")).drop("_h", "line_no")
 
 
 def cap_groups(df: DataFrame, by: str, key: str, seed: str, caps: dict[str, int], default: int) -> DataFrame:

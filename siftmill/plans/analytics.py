@@ -286,12 +286,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("scan_slice", "SELECT o_orderkey, line_no FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no FROM orders) WHERE line_no BETWEEN 100 AND 299")
 def _(t: Tables) -> DataFrame:
-    """Offset and limit over the key order; ranks come from counts of the keys before each range, not from one global window."""
-    d = t.orders.select("o_orderkey").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
-    d = d.withColumn("part", F.spark_partition_id()).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1)
-    before = d.groupBy("part").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return d.join(before, "part").select("o_orderkey", (F.col("place") + F.col("before")).alias("line_no")).where("line_no between 100 and 299")
+    """Offset and limit over the key order."""
+    from ..operators.dataset import numbered
+
+    ends = t.orders.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))  # one row
+    d = t.orders.select("o_orderkey").join(F.broadcast(ends))
+    bucket = F.floor((F.col("o_orderkey") - F.col("lo")) * 4095 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
+    return numbered(d, bucket, ["o_orderkey"]).select("o_orderkey", "line_no").where("line_no between 100 and 299")
 
 
 @query("recency_index", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 500")
