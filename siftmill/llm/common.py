@@ -33,6 +33,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(spark: SparkSession) -> int:
+    """Into how many buckets packed rows go: at least 64, so that a document gives as many rows on a small cluster as on a large one."""
+    return max(64, partitions(spark))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _MADE:
