@@ -19,14 +19,14 @@ from .arrow import blocks
 from .bpe import CachedEncoder
 from .common import partitions, written
 
-PIECES = "doc_id long, copy int, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, text: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` tokens: only longer documents are cut, all pieces but the first are full.
 
-    Null or empty text is one piece with the end id. Repeated rows give their pieces each, told apart by no
-    column of their own; null doc_ids are kept. Extra columns are ignored.
+    Null or empty text is one piece with the end id. Repeated rows give their pieces each; null doc_ids are kept.
+    Extra columns are ignored.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,10 +39,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     ids = np.frombuffer(ids + end, dtype=encoder.dtype).astype("<u4")
                     first = len(ids) % capacity or capacity
                     at = [0, *range(first, len(ids) + 1, capacity)]
-                    rows += [(doc, 0, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
+                    rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES).drop("copy")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
 def length_patterns(counts: np.ndarray, capacity: int, widest: int = 192) -> list[tuple[int, ...]]:
