@@ -8,8 +8,9 @@ set's elements in it. Linked sets differ in at most ``k = size // 3`` elements (
 all signatures and add one for each element, so two such sets share one as well. Nothing is lost.
 
 Signatures go to buckets packed, one row for a set and bucket; equal sets count once. Only signatures
-that occur twice leave the buckets. Links are verified on the texts: first each set with the smallest of
-its bucket, then, where a bucket still spans several components, the pairs across them.
+that occur twice leave the buckets. Links are verified on the texts: each set with the most central one of
+its bucket, then, where a bucket still spans several components, with a further centre, and after ``STARS``
+centres the pairs across components that are left: by a join in small buckets, by blocks in large ones.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import blocks
-from .common import partitions, written
+from .common import buckets, partitions, written
 from .components import components
 from .shingles import U, groups, mix, packed, shingle_sets
 
 LEAST = 12  # sets of at most so many elements: each element is a part of its own
-_ALL = 1 << 30
+_ALL, STARS, SMALL = 1 << 30, 2, 16
 _SENT = "bucket int, node long, doc_id long, n long, band int, t int, k int, parts binary"
 _MET = "kind int, doc_id long, node long, n long, band int, t int, k int, part long, sets long"
 
@@ -172,35 +173,93 @@ def similar_sets(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_buckets = partitions(spark)
-    met = written(rows.mapInArrow(_send(n_buckets, width), _SENT).repartitionById(n_buckets, F.col("bucket")).mapInArrow(_meet, _MET), "signatures")
+    n, n_buckets = partitions(spark), buckets(spark)
+    met = written(rows.mapInArrow(_send(n_buckets, width), _SENT).repartitionById(n, F.col("bucket") % n).mapInArrow(_meet, _MET), "signatures")
     documents = met.where("kind = 0").select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")
 
     mine = Window.partitionBy("node", "band")
-    rank = F.row_number().over(mine.orderBy("sets", "part"))
-    shared = met.where("kind = 1").withColumn("met", F.count("*").over(mine)).withColumn("rank", rank)
-    kept = shared.where("rank <= k + 1 - (t - met)").select("part", "node", "n")
-    lead = kept.groupBy("part").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"), F.count("*").alias("sets")).where("sets > 1")
-    # every set with the smallest node of its bucket, and the bucket's rows for the second step
-    kept = written(kept.join(lead, "part"), "candidates")
-    near = "4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n)"
-    star = kept.where("node <> lead").selectExpr("lead as x", "lead_n as x_n", "node as y", "n as y_n").where(near).select("x", "y").distinct()
-
-    nodes = kept.select("node").distinct()
-    first = documents.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shared = met.where("kind = 1").withColumn("met", F.count("*").over(mine)).withColumn("central", F.sum("sets").over(mine) / F.col("t"))
+    shared = shared.withColumn("rank", F.row_number().over(mine.orderBy("sets", "part")))
+    rare = shared.where("rank <= k + 1 - (t - met)").select("part", "node", "n", "central")
+    # buckets of the same sets say the same, so one of them stays
+    members = rare.groupBy("part").agg(F.bit_xor(F.xxhash64("node")).alias("who"), F.count("*").alias("sets")).where("sets > 1")
+    kept = written(rare.join(members.groupBy("who", "sets").agg(F.min("part").alias("part")).select("part"), "part"), "candidates")
+    first = documents.join(kept.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = written(_texts_of(rows, first, width), "texts")
-    tested = written(star, "pairs")
-    links = written(_verified(tested, texts, width), "links")
 
-    label = components(links)
-    labelled = kept.join(label, "node", "left").select("part", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_parts = labelled.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("part")
-    left = written(labelled.join(open_parts, "part"), "open")
-    x = left.selectExpr("part", "node as x", "n as x_n", "component as x_c")
-    y = left.selectExpr("part", "node as y", "n as y_n", "component as y_c")
-    across = x.join(y, "part").where("x < y and x_c <> y_c").where(near).select("x", "y").distinct().join(tested, ["x", "y"], "left_anti")
-    more = written(_verified(across, texts, width), "links")
-    return documents, links.union(more)
+    links = tested = None
+    for step in range(STARS + 1):
+        if step:
+            label = components(links)
+            kept = kept.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = kept.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("part")
+            kept = written(kept.join(mixed, "part"), "open")
+            if kept.isEmpty():
+                break
+        else:
+            kept = kept.withColumn("component", F.col("node"))
+        if step < STARS:
+            # the most central set of a bucket, first outside the last centre's component, with all sets of other components
+            outside = F.col("component") != F.col("centre_component") if step else F.lit(True)
+            lead = kept.groupBy("part").agg(F.max_by(F.struct("node", "n", "component"), F.struct(outside, "central", "node")).alias("lead"))
+            kept = kept.drop("centre_component").join(lead, "part").withColumn("centre_component", F.col("lead.component"))
+            pairs = kept.where("component <> lead.component").selectExpr("least(node, lead.node) as x", "greatest(node, lead.node) as y", "n as x_n", "lead.n as y_n")
+            kept = kept.where("node <> lead.node").drop("component", "lead")  # a centre has met every set of its bucket
+        else:
+            sized = kept.join(kept.groupBy("part").agg(F.count("*").alias("many"), F.max("n").alias("top")), "part")
+            x = sized.where(f"many <= {SMALL}").selectExpr("part", "node as x", "n as x_n", "component as x_c")
+            y = sized.where(f"many <= {SMALL}").selectExpr("part", "node as y", "n as y_n", "component as y_c")
+            pairs = x.join(y, "part").where("x < y and x_c <> y_c")
+            across = written(_across_blocks(sized.where(f"many > {SMALL}"), texts, width), "links")
+            links = links.union(across)
+        pairs = pairs.where("4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n)").select("x", "y").distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = written(_verified(pairs, texts, width), "links")
+        links = found if links is None else links.union(found)
+    return documents, links
+
+
+def _across_blocks(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Links across components in large buckets, without a row for a pair.
+
+    A bucket's sets are dealt into blocks of bounded size; two blocks at a time meet in a task, which counts all
+    shared elements by matrix products and gives of the links found a spanning forest only.
+    """
+    size = F.greatest(F.lit(32), F.least(F.lit(1024), F.floor(F.lit(200_000) / F.col("top")))).cast("int")
+    rows = rows.withColumn("blocks", F.ceil(F.col("many") / size).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    met = rows.join(texts, "node").select("part", "node", "component", "text", F.explode(meets).alias("m"))
+    return met.select("part", "m.i", "m.j", "node", "component", "text").groupBy("part", "i", "j").applyInArrow(_block_links(width), "a long, b long").distinct()
+
+
+def _block_links(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        node, component = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "component"))
+        owner, element = shingle_sets(table.column("text").combine_chunks(), width)
+        n = np.bincount(owner, minlength=len(node))
+        known, place, count = np.unique(element, return_inverse=True, return_counts=True)
+        shared = count[place] > 1
+        number = np.cumsum(count > 1) - 1
+        owner, place = owner[shared], number[place[shared]]
+        both = np.zeros((len(node), len(node)), dtype=np.float32)
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        for first in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            a, b = np.searchsorted(place, [first, first + 4096])
+            has = np.zeros((len(node), 4096), dtype=np.float32)
+            has[owner[a:b], place[a:b] - first] = 1
+            both += has @ has.T
+        linked = (100 * both >= 75 * (n[:, None] + n[None, :] - both)) & (both > 0)
+        group = np.unique(component, return_inverse=True)[1]
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1) & (component[:, None] != component[None, :]))):
+            if group[i] != group[j]:  # not yet connected by a link given here
+                group[group == group[j]] = group[i]
+                out.append((node[i], node[j]))
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return run
 
 
 def _texts_of(rows: DataFrame, first: DataFrame, width: int) -> DataFrame:

@@ -113,3 +113,21 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_loose_family(spark):
+    """Edited copies that link with few others and hardly with one centre: large buckets, decided in blocks."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for size, members in ((60, 150), (150, 120)):
+        base = [word() for _ in range(size)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.randint(1, size // 18)):
+                w[rng.randrange(size)] = word()
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 10
+    assert _got(jaccard.jaccard_components(docs)) == want
