@@ -73,8 +73,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     paths = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up_steps"))
     for k in range(len(jumps) - 1, -1, -1):  # distances with and without 2^k: every ancestor once
         far = paths.join(jumps[k], ["conv_id", "node_id"]).select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("up_steps") + (1 << k)).alias("up_steps"))
-        paths = paths.union(far)
-    paths = written(paths, "paths")
+        paths = written(paths.union(far), f"paths{k}")  # else the plan would double with every step
     ranked = paths.join(nodes.select("conv_id", "node_id", "score"), ["conv_id", "node_id"]).groupBy("conv_id", "leaf").agg(F.avg("score").alias("score"), F.max("up_steps").alias("depth"))
     ranked = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")).cast("long")).where(F.col("branch") <= branches)
     return paths.join(ranked, ["conv_id", "leaf"]).select("conv_id", "branch", (F.col("depth") - F.col("up_steps")).alias("step"), "node_id")
