@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard, licenses, packing, passages, quality, token_counts, token_files
+from . import chat, decontamination, jaccard, licenses, packing, passages, quality, token_counts, token_files, warc
 from .common import written
 
 
@@ -18,6 +18,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, folder, vocab_size=50_257)
@@ -58,5 +62,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op8_substring_dedup, op9_license_scans, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op8_substring_dedup, op9_license_scans, op10_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
