@@ -89,9 +89,10 @@ def _send(n_buckets: int, width: int):
                 key[owner[at]] = mix(np.add.reduceat(mix(element + U(0x9FB21C651E98DF25)), at) + size[owner[at]].astype(U)) if len(at) else key[:0]
                 node = key.view(np.int64)
                 yield _rows(mix(np.arange(len(ids), dtype=U) + key) % U(n_buckets), node, ids, size, np.full(len(ids), -1), *(np.zeros(len(ids)),) * 2, None)
-                new = np.array([size[i] > 0 and x not in sent and not sent.add(x) for i, x in enumerate(node.tolist())], dtype=bool)
-                keep = new[owner] & np.asarray(ids.is_valid())[owner]
-                for views, band, t, k, view, sig in signatures(owner[keep], element[keep], np.where(new & np.asarray(ids.is_valid()), size, 0)):
+                valid = np.asarray(ids.is_valid())
+                new = np.array([valid[i] and size[i] > 0 and x not in sent and not sent.add(x) for i, x in enumerate(node.tolist())], dtype=bool)
+                keep = new[owner]
+                for views, band, t, k, view, sig in signatures(owner[keep], element[keep], np.where(new, size, 0)):
                     bucket = sig % U(n_buckets)
                     order = np.lexsort((bucket, view))
                     view, bucket, sig = view[order], bucket[order], sig[order]

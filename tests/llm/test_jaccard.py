@@ -131,3 +131,10 @@ def test_large_loose_family(spark):
     want = brute(rows)
     assert len({c for _, _, c in want}) > 10
     assert _got(jaccard.jaccard_components(docs)) == want
+
+
+def test_null_id_copy_comes_first(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(w)), (5, " ".join(w)), (3, " ".join(w[:-2] + ["other", "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert _got(jaccard.jaccard_components(docs)) == brute(rows)
