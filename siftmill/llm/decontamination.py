@@ -2,8 +2,8 @@
 
 The automaton holds every run of ``width`` consecutive item words (the whole item if shorter). Hits are
 reported as word runs and as code point spans of the original text. The benchmark is read in blocks of
-at most ``block`` items, so that neither driver nor task holds an unbounded automaton; a document's hits
-in several blocks are united.
+at most ``block`` items, so that neither driver nor task holds an unbounded automaton; a text's hits
+in several blocks are united by its hash, as they depend on nothing else.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import map_texts
+from .common import written
 from .words import alnum_words, char_offsets, spaced, word_bounds
 
 _L, _I = T.LongType(), T.ArrayType(T.IntegerType())
 _FOUND = T.StructType([T.StructField("doc_id", _L), T.StructField("n_words", _L), T.StructField("runs", _I), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _I)])
+_KEYED = T.StructType([T.StructField("key", T.StringType()), *_FOUND.fields[1:]])
 
 
 def windows_of(items: list[tuple[str, str | None]], width: int) -> dict[str, tuple[int, tuple[str, ...]]]:
@@ -70,12 +72,29 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block
     """One row per document: n_words, word runs, items and spans found.
 
     Null or empty document text: no words, no hits. Items without words have no window. Empty benchmark: no
-    hits. Repeated document rows: one result each with one block; with more, equal doc_ids of equal word number
-    give one. Extra columns are ignored.
+    hits. Repeated document rows: one result each. Extra columns are ignored.
     """
+    n_blocks = max(1, -(-benchmark.count() // block))
+    if n_blocks == 1:
+        return _scanned(docs, "doc_id", _FOUND, benchmark, width, 1)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"))
+    return keyed.join(_text_hits(docs, benchmark, width, n_blocks), "key").select(*_FOUND.names)
+
+
+def _key() -> Column:
+    return F.coalesce(F.sha2(F.col("text").cast("string").cast("binary"), 256), F.lit(""))
+
+
+def _text_hits(docs: DataFrame, benchmark: DataFrame, width: int, n_blocks: int) -> DataFrame:
+    """One row per different text: its key and its hits in all blocks."""
+    texts = written(docs.select(_key().alias("key"), F.col("text").cast("string").alias("text")).dropDuplicates(["key"]), "texts")
+    return _united(_scanned(texts, "key", _KEYED, benchmark, width, n_blocks))
+
+
+def _scanned(docs: DataFrame, by: str, schema: T.StructType, benchmark: DataFrame, width: int, n_blocks: int) -> DataFrame:
+    """A row per document and block."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n_blocks = max(1, -(-items.count() // block))
     found = None
     for b in range(n_blocks):
         own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
@@ -85,38 +104,41 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block
             machine = automaton(held.value)
             return lambda text: scan(text, machine)
 
-        rows = map_texts(docs, "doc_id", "text", _FOUND, make)
+        rows = map_texts(docs, by, "text", schema, make)
         found = rows if found is None else found.unionByName(rows)
-    return found if n_blocks == 1 else _united(found)
+    return found
 
 
 def _united(found: DataFrame) -> DataFrame:
-    """Hits of the blocks of one document together; repeated doc_ids count as one document here."""
+    """Hits of the blocks of one text together."""
     pairs = lambda c: F.expr(f"transform(sequence(0, size({c}) - 1, 2), i -> struct({c}[i] as a, {c}[i + 1] as b))")
     some = lambda c: F.when(F.size(c) > 0, pairs(c)).otherwise(F.expr("cast(array() as array<struct<a:int,b:int>>)"))
-    grouped = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list(some("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list(some("spans"))).alias("spans"))
+    grouped = found.groupBy("key", "n_words").agg(F.flatten(F.collect_list(some("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list(some("spans"))).alias("spans"))
     merge = """flatten(transform(aggregate(array_sort({c}), cast(array() as array<struct<a:int,b:int>>),
         (m, x) -> case when size(m) > 0 and element_at(m, -1).b >= x.a
         then concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a as a, greatest(element_at(m, -1).b, x.b) as b)))
         else concat(m, array(x)) end), s -> array(s.a, s.b)))"""
-    return grouped.select("doc_id", "n_words", F.expr(merge.format(c="runs")).alias("runs"), "items", F.expr(merge.format(c="spans")).alias("spans"))
+    return grouped.select("key", "n_words", F.expr(merge.format(c="runs")).alias("runs"), "items", F.expr(merge.format(c="spans")).alias("spans"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """Counts and verdict for every document: contaminated if at least a twentieth of its words are hit."""
-    rows = benchmark_hits(docs, benchmark, width)
+    rows = _judged(benchmark_hits(docs, benchmark, width))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "spans")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
     # runs is [s0, e0, s1, e1, ...]: the words hit are the sum of ends less the sum of starts
     n_hit = F.expr("cast(aggregate(transform(runs, (x, i) -> if(i % 2 = 0, -x, x)), 0, (a, x) -> a + x) as long)")
-    rows = rows.withColumn("n_hit", n_hit)
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
+    return rows.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, limit: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns unchanged."""
     n = benchmark.count()
     if n > limit:
-        bad = contamination(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+        bad = _judged(_text_hits(docs, benchmark, width, -(-n // limit))).where("contaminated").select(F.col("key").alias("bad_key"))
+        return docs.join(bad, _key() == F.col("bad_key"), "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(windows_of([tuple(r) for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()], width))
 
     @F.pandas_udf("boolean")

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from siftmill.llm import decontamination
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,3 +63,13 @@ def test_spans_map_to_original(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     a, b = decontamination.contamination(docs, spark.createDataFrame([("x", item)], "item_id string, text string")).head()["spans"]
     assert text[a:b] == item.replace(" ", "  ")
+
+
+def test_blocks_keep_null_and_repeated_ids_apart(spark, odd_docs):
+    bench = spark.createDataFrame([(1, "no id here"), (2, "a b c d"), (3, "never anywhere"), (4, "one")], "item_id long, text string")
+    docs = odd_docs.unionByName(odd_docs.where("doc_id in (4, 8, 9)").withColumn("doc_id", F.lit(None).cast("long")))
+    one = decontamination.benchmark_hits(docs, bench).collect()
+    assert len(one) == docs.count() and sorted(map(str, decontamination.benchmark_hits(docs, bench, block=1).collect())) == sorted(map(str, one))
+    want = sorted(map(str, decontamination.keep_clean(docs, bench).collect()))
+    assert len(want) < docs.count() and any(r["doc_id"] is None for r in decontamination.keep_clean(docs, bench).collect())
+    assert sorted(map(str, decontamination.keep_clean(docs, bench, limit=1).collect())) == want
