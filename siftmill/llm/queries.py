@@ -63,4 +63,4 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op8_substring_dedup, op9_license_scans, op10_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL}
