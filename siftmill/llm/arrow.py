@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +17,22 @@ from pyspark.sql.types import StructType
 BLOCK_BYTES = 1 << 20
 
 
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run`` over a task's batches, after which the worker's free memory goes back to the system: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def of(*parts):
+        try:
+            yield from run(*parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return of
+
+
 def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, so that memory stays bounded."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -35,4 +53,4 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, schema: StructT
                 columns = list(zip(*map(of, block.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([block.column(0).cast(arrow[0].type)] + [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])], schema=arrow)
 
-    return docs.select(F.col(id_column).cast(schema[0].dataType).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast(schema[0].dataType).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(lean(run), schema)

@@ -1,8 +1,9 @@
-"""Whole-text byte-level BPE with the tokenizers library, each distinct segment encoded once per worker.
+"""Whole-text byte-level BPE with the tokenizers library, each recurring segment encoded twice per worker.
 
 The pre-tokeniser never joins text across a single space or newline that stands between two other
 characters, nor a full stop or comma that stands alone between letters or digits and what follows.
-Texts are cut there, segments are looked up, and only unseen ones go to the library. Texts in which a
+Texts are cut there, segments are looked up, and only unseen ones go to the library. A segment is kept from
+its second block on, as most segments of a corpus stand in it once; what is kept is bounded. Texts in which a
 cut could change the result are cut at plain spaces only, and those that name a special token are
 encoded whole.
 """
@@ -27,7 +28,7 @@ _LOADED: dict[str, "CachedEncoder"] = {}
 
 
 class CachedEncoder:
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,7 +37,7 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keep, self.cache, self.loose = keep, {}, {}
+        self.keep, self.cache, self.loose, self.once = keep, {}, {}, bytearray(1 << 22)
 
     @classmethod
     def load(cls, path: str) -> "CachedEncoder":
@@ -64,6 +65,7 @@ class CachedEncoder:
     def _add(self, keys: set[str]) -> None:
         """Encodes unseen segments: those of letters only are one pre-token, so they go to the merges directly."""
         new, model, kind = keys.difference(self.cache), self.tokenizer.model, self.dtype.char
+        self.fresh += new
         mixed = []
         for key in new:
             if key.isalpha():
@@ -85,8 +87,19 @@ class CachedEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``dtype``; null gives none."""
         if len(self.cache) > self.keep:
-            self.cache.clear()
-            self.loose.clear()
+            self.cache, self.loose, self.once = {}, {}, bytearray(len(self.once))
+        self.fresh: list[str] = []
+        out = self._encode(texts)
+        once, places = self.once, len(self.once)
+        for key in self.fresh:
+            at = hash(key) % places
+            if not once[at]:  # a clash only keeps a segment early
+                once[at] = 1
+                del self.cache[key]
+                self.loose.pop(key, None)
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
         self._add(set().union(*cut))
         get, any_of = self.cache.__getitem__, self.loose.get

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import blocks
+from .arrow import blocks, lean
 from .common import buckets, partitions, written
 from .components import components
 from .shingles import U, groups, mix, packed, shingle_sets
@@ -175,7 +175,7 @@ def similar_sets(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n, n_buckets = partitions(spark), buckets(spark)
-    met = written(rows.mapInArrow(_send(n_buckets, width), _SENT).repartitionById(n, F.col("bucket") % n).mapInArrow(_meet, _MET), "signatures")
+    met = written(rows.mapInArrow(lean(_send(n_buckets, width)), _SENT).repartitionById(n, F.col("bucket") % n).mapInArrow(lean(_meet), _MET), "signatures")
     documents = met.where("kind = 0").select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")
 
     mine = Window.partitionBy("node", "band")
@@ -276,13 +276,13 @@ def _texts_of(rows: DataFrame, first: DataFrame, width: int) -> DataFrame:
                 right = key.view(np.int64) == np.asarray(block.column(0))
                 yield pa.RecordBatch.from_arrays([block.column(0), block.column(1)], names=["node", "text"]).filter(pa.array(right))
 
-    return rows.join(first, "doc_id").select("node", "text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    return rows.join(first, "doc_id").select("node", "text").mapInArrow(lean(run), "node long, text string").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     with_y = pairs.join(texts.selectExpr("node as y", "text as y_text"), "y")
     with_both = with_y.join(texts.selectExpr("node as x", "text as x_text"), "x")
-    return with_both.select("x", "y", "x_text", "y_text").mapInArrow(_verify(width, 75), "a long, b long")
+    return with_both.select("x", "y", "x_text", "y_text").mapInArrow(lean(_verify(width, 75)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:

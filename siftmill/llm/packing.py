@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import blocks
+from .arrow import blocks, lean
 from .bpe import CachedEncoder
 from .common import partitions, written
 
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(cut), PIECES)
 
 
 def length_patterns(counts: np.ndarray, capacity: int, widest: int = 192) -> list[tuple[int, ...]]:
@@ -160,7 +160,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq[at] + rank - lo[at]), pa.array(off[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, F.col("rank").cast("long")).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*columns, F.col("rank").cast("long")).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -36,7 +36,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return quality.quality_rules(docs, quality.fit_limits(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

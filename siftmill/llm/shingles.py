@@ -40,18 +40,29 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(byte starts, byte ends, hashes of the words with A-Z folded, n+1 places of each text's first word)"""
+def words(data: np.ndarray, offsets: np.ndarray, slice_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(byte starts, byte ends, hashes of the words with A-Z folded, n+1 places of each text's first word)
+
+    A word's hash does not depend on its place, so the sums are taken over slices of whole words: eight bytes
+    for each byte of text are held for a slice only, however long the text.
+    """
     inside = ~WHITE[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((FOLD[data].astype(U) + U(1)) * power[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    hashes, i = np.zeros(len(starts), U), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + slice_bytes, "right")))
+        part = data[a : ends[j - 1]]
+        power, inverse = _power_tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum((FOLD[part].astype(U) + U(1)) * power[: len(part)], out=total[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        hashes[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+        i = j
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import blocks
+from .arrow import blocks, lean
 from .bpe import CachedEncoder
 from .common import shared_dir
 
@@ -64,7 +64,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())] + [pa.array([int(x)], pa.int64()) for x in (nulls, len(offsets) - 1, offsets[-1])], names=["part", "n_null", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
+    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(write), MANIFEST)
     parts.write.mode("overwrite").parquet(f"{folder}/manifest")
     return folder
 
@@ -100,4 +100,4 @@ def read_token_files(spark: SparkSession, folder: str, vocab_size: int) -> DataF
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "part"],
                     )
 
-    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(read, ROWS)
+    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(lean(read), ROWS)

@@ -8,7 +8,6 @@ import test_jaccard
 import test_passages
 import test_quality
 
-from siftmill.llm import quality
 from siftmill.llm.common import written
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -16,21 +15,12 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 def test_stages_one_by_one(spark, sf):
     """Every stage against a brute-force version of its decisions, on what the stage before kept."""
-    import zstandard
-
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
-    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
 
     kept = written(stages["quality_rules"](spark, docs, sf), "a")
-    want = []
-    for r in docs.collect():
-        n, _, _, _, repeats = test_quality.brute(r["text"])
-        ok = n >= 50 and (repeats is None or 100 * repeats <= 50 * n)
-        if repeats is None:
-            ok = quality.measure(r["text"], compress)[5] is False
-        if ok and quality.measure(r["text"], compress)[6]:
-            want.append(r["doc_id"])
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    want = test_quality.brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()], labels)
     assert kept.columns == columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
@@ -61,6 +51,7 @@ def test_stages_one_by_one(spark, sf):
 def test_odd_and_empty(spark, odd_docs, empty_docs, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(15, 1, 0), (4, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     for docs in (odd_docs, empty_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = written(stage(spark, docs, folder), name)
