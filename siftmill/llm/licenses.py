@@ -2,7 +2,8 @@
 
 A notice that may hold ``k`` edits is split into ``k + 1`` pieces; one of them must stand unchanged in any
 match. One automaton finds phrases and pieces in one scan; around each piece the regex library's
-bounded-error matching decides, counts the edits and gives the span.
+bounded-error matching decides, counts the edits and gives the span. Words that tell a notice from others must
+stand unchanged in it, and of matches that overlap the one with the fewest edits stays.
 """
 
 from __future__ import annotations
@@ -15,18 +16,29 @@ from .arrow import map_texts
 from .words import alnum_words, char_offsets, word_bounds
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: (label, notice in lower-case words)
+#: (label, notice in lower-case words, what must stand unchanged in a match). Fixed values. Short words tell these notices apart,
+#: so an edit there makes another notice; where there is no such pattern, notices of other labels are far away.
 NOTICES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "licensed under the gnu general public license version"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("mit", "released under the mit license", r" mit "),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ""),
+    ("apache", "licensed under the apache license version 2 0", ""),
+    ("gpl", "licensed under the gnu general public license version", r" general "),
+    ("lgpl", "licensed under the gnu lesser general public license version", r" lesser "),
+    ("agpl", "licensed under the gnu affero general public license version", r" affero "),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general", r" gnu general "),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ""),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", ""),
+    ("boost", "distributed under the boost software license version 1 0", ""),
+    ("epl", "made available under the terms of the eclipse public license", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ""),
+    ("cc0", "dedicated to the public domain under cc0 1 0", r" cc0 "),
+    ("cc-by", "licensed under cc by 4 0", r" cc by (?!nc |sa |nd )"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", r" cc by sa "),
+    ("cc-by-nd", "licensed under cc by nd 4 0", r" cc by nd "),
+    ("cc-by-nc", "licensed under cc by nc 4 0", r" cc by nc (?!sa |nd )"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", r" cc by nc sa "),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", r" cc by nc nd "),
 )
 _L, _S = T.LongType(), T.StringType()
 _SPANS = T.ArrayType(T.StructType([T.StructField("label", _S), T.StructField("start", _L), T.StructField("end", _L), T.StructField("edits", _L)]))
@@ -38,15 +50,15 @@ def edits_allowed(notice: str) -> int:
 
 
 class NoticeScanner:
-    def __init__(self, phrases: dict[str, str] = PHRASES, notices: tuple[tuple[str, str], ...] = NOTICES):
+    def __init__(self, phrases: dict[str, str] = PHRASES, notices: tuple[tuple[str, str, str], ...] = NOTICES):
         import ahocorasick
         import regex
 
-        self.notices = [(label, notice, k := edits_allowed(notice), regex.compile(f"(?e)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")) for label, notice in notices]
+        self.notices = [(label, notice, k := edits_allowed(notice), regex.compile(f"(?e)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"), regex.compile(own)) for label, notice, own in notices]
         found: dict[str, list[tuple]] = {}
         for phrase, label in phrases.items():
             found.setdefault(f" {phrase} ", []).append(("phrase", label, len(phrase.split())))
-        for n, (_, notice, k, _) in enumerate(self.notices):
+        for n, (_, notice, k, *_) in enumerate(self.notices):
             cuts = [len(notice) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 found.setdefault(notice[a:b], []).append(("seed", n, a))
@@ -65,16 +77,21 @@ class NoticeScanner:
                 if kind == "phrase":
                     base.append((line.count(" ", 0, start), of))
                 else:
-                    _, notice, k, _ = self.notices[of]
+                    _, notice, k, *_ = self.notices[of]
                     windows.setdefault(of, []).append((max(0, start - x - k), start - x + len(notice) + 2 * k))
-        spans, score = [], 1.0 if base else 0.0
+        found = []
         for n, places in windows.items():
-            label, notice, k, pattern = self.notices[n]
+            label, notice, _, pattern, own = self.notices[n]
             for a, b in merged(places):
                 for m in pattern.finditer(line, a, b):
-                    edits = sum(m.fuzzy_counts)
-                    spans.append((label, *m.span(), edits))
-                    score = max(score, 1 - edits / len(notice))
+                    kept = own.search(line, max(0, m.start() - 1), m.end() + 8)  # what may not follow can stand behind the match
+                    if kept and kept.end() <= m.end() + 1:
+                        found.append((sum(m.fuzzy_counts), -len(notice), *m.span(), label))
+        spans, score = [], 1.0 if base else 0.0
+        for edits, size, a, b, label in sorted(found):
+            if all(b <= c or d <= a for _, c, d, _ in spans):
+                spans.append((label, a, b, edits))
+                score = max(score, 1 + edits / size)
         if spans:
             spans = self._original(text, data, line, spans)
         base_labels = {x for _, x in base}
@@ -105,10 +122,11 @@ def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple[tuple[str, str, str], ...] = NOTICES) -> DataFrame:
     """Phrase places, labels, score and the spans of notices for every row.
 
     Null and empty text: no words, nothing found, places null, labels empty, score 0. Repeated rows: one result
-    each. Null doc_id is kept. Extra columns are ignored. Empty table: no rows.
+    each. Null doc_id is kept. Extra columns are ignored. Empty table: no rows. Very long texts are scanned whole,
+    one at a time; notices that overlap no other are all reported.
     """
     return map_texts(docs, "doc_id", "text", SCHEMA, lambda: NoticeScanner(phrases, notices).scan)

@@ -1,5 +1,8 @@
+import random
 import re
 
+import numpy as np
+
 from siftmill.llm import licenses
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -42,7 +45,56 @@ def test_fuzzy_notices():
         assert label in labels.split(","), text
         s = next(s for s in spans if s["label"] == label)
         found = " ".join(_WORD.findall(text[s["start"] : s["end"]].translate(_LOW)))
-        notice = min((x for y, x in licenses.NOTICES if y == label), key=lambda x: distance(x, found))
+        notice = min((x for y, x, _ in licenses.NOTICES if y == label), key=lambda x: distance(x, found))
         assert s["edits"] >= distance(notice, found) - 2 and s["edits"] <= licenses.edits_allowed(notice)
     assert scan("Released under the BSD terms and cc by nothing")[5] == ""
     assert scan(None) == (0, 0, None, None, "", "", 0.0, [])
+
+
+def test_every_notice_gives_its_own_label_only():
+    scan = licenses.NoticeScanner().scan
+    for label, notice, _ in licenses.NOTICES:
+        for other, second, _ in licenses.NOTICES:
+            text = f"Some words, {notice}. Then more words stand between; {second}! End."
+            found = [s["label"] for s in scan(text)[7]]
+            assert found == [label, other], (notice, second)
+    for text, labels in (("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-ND 4.0", "cc-by-nd"), ("Released under the wit licence", ""), ("Released under the wit license, mit", ""), ("Licensed under CC BY-NC-SA 3.0", "cc-by-nc-sa"), ("Licenced under CC BY 4.0 nc", "cc-by"), ("Licensed under CC BX-NC 4.0", "")):
+        assert scan(text)[5] == labels, text
+
+
+def least_distance(line, notice):
+    """The smallest number of edits between the notice and any part of the line: one column of the table a character."""
+    steps = np.arange(len(notice) + 1)
+    codes, column, least = np.array([ord(c) for c in notice]), steps.copy(), len(notice)
+    for c in line:
+        change = column[:-1] + (codes != ord(c))
+        new = np.concatenate([[0], np.minimum(change, column[1:] + 1)])
+        column = np.minimum.accumulate(new - steps) + steps
+        least = min(least, int(column[-1]))
+    return least
+
+
+def test_labels_by_edit_distance(spark):
+    """One edited notice a text: found if and only if its edits are few enough and its own words stand, at no other place and under no other label."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        label, notice, own = licenses.NOTICES[i % len(licenses.NOTICES)]
+        chars = list(notice)
+        for _ in range(rng.randint(0, 1 + licenses.edits_allowed(notice))):
+            at = rng.randrange(len(chars))
+            chars[at : at + 1] = rng.choice([[], [rng.choice("abcxyz0")], [chars[at], rng.choice("qwv")]])
+        lead = " ".join("".join(rng.choice("eiou") + rng.choice("fjhz") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 40)))
+        rows.append((i, f"{lead}. {''.join(chars)}! {lead}"))
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = 0
+    for i, text in rows:
+        line = f" {' '.join(_WORD.findall(text.translate(_LOW)))} "
+        near = [(least_distance(line, notice), label) for label, notice, own in licenses.NOTICES if not own or re.search(own, line)]
+        near = [(d, label) for d, label in near if d <= next(licenses.edits_allowed(n) for x, n, _ in licenses.NOTICES if x == label and least_distance(line, n) == d)]
+        labels = {s["label"] for s in got[i]["spans"]}
+        assert labels <= {x for _, x in near} and bool(labels) == bool(near), text
+        if near:
+            met += 1
+            assert {x for _, x in near if len({y for _, y in near}) == 1} <= labels and min(near)[0] == min(s["edits"] for s in got[i]["spans"])
+    assert met > 150
