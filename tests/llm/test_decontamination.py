@@ -49,14 +49,51 @@ def test_against_brute_force(spark, sf, odd_docs, empty_docs):
     assert not any(r["contaminated"] for r in decontamination.contamination(docs, bench.limit(0)).collect())
 
 
-def test_blocks_agree(spark, sf):
+def test_blocks_agree(spark, sf):  # the benchmark has 85,000 characters of windows
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = decontamination.contamination(docs, bench)
-    rows = decontamination.benchmark_hits(docs, bench, block=7)
+    rows = decontamination.benchmark_hits(docs, bench, block=20_000)
     want = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in one.collect()}
     assert {r["doc_id"]: (sum(r["runs"][1::2]) - sum(r["runs"][::2]), len(r["items"])) for r in rows.collect()} == want
 
 
+def quick(items, width=13):
+    """A function as ``brute``, by sets of word tuples."""
+    windows = {}
+    for item, t in items:
+        q = words(t)
+        n = min(width, len(q))
+        for i in range(len(q) - n + 1 if n else 0):
+            windows.setdefault(tuple(q[i : i + n]), set()).add(str(item))
+    sizes = {len(w) for w in windows}
+
+    def of(text):
+        w, hit, found = words(text), set(), set()
+        for n in sizes:
+            for j in range(len(w) - n + 1):
+                if items := windows.get(tuple(w[j : j + n])):
+                    found |= items
+                    hit.update(range(j, j + n))
+        return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+    return of
+
+
+def test_all_documents_and_items_in_blocks_of_any_size(spark, odd_docs):
+    folder = "/root/testdata/sf0.01"
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet").unionByName(spark.createDataFrame([(7, "one"), (None, "no id here"), (3, "A b, c")], "item_id long, text string"))
+    null = F.lit(None).cast("long")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    docs = docs.unionByName(docs.where("doc_id % 50 = 0")).unionByName(docs.where("doc_id % 50 = 1").withColumn("doc_id", null))
+    of = quick([tuple(r) for r in bench.collect()])
+    want = sorted(((r["doc_id"], *of(r["text"])) for r in docs.collect()), key=str)
+    assert sum(x[5] for x in want) > 20 and any(x[0] is None and x[5] for x in want)
+    for block in (decontamination.BLOCK, 30_000):
+        assert _got(decontamination.contamination(docs, bench, block=block)) == want
+        kept = sorted(((r["doc_id"], r["text"]) for r in decontamination.keep_clean(docs, bench, block=block).collect()), key=str)
+        assert kept == sorted(((r["doc_id"], r["text"]) for r in docs.collect() if not of(r["text"])[4]), key=str)
+
+
 def test_spans_map_to_original(spark):
     item = "Één twee, DRIE vier vijf zes zeven acht negen tien elf twaalf dertien"
     text = "«ünder» ... " + item.replace(" ", "  ") + "!! rest"
@@ -69,7 +106,7 @@ def test_blocks_keep_null_and_repeated_ids_apart(spark, odd_docs):
     bench = spark.createDataFrame([(1, "no id here"), (2, "a b c d"), (3, "never anywhere"), (4, "one")], "item_id long, text string")
     docs = odd_docs.unionByName(odd_docs.where("doc_id in (4, 8, 9)").withColumn("doc_id", F.lit(None).cast("long")))
     one = decontamination.benchmark_hits(docs, bench).collect()
-    assert len(one) == docs.count() and sorted(map(str, decontamination.benchmark_hits(docs, bench, block=1).collect())) == sorted(map(str, one))
+    assert len(one) == docs.count() and sorted(map(str, decontamination.benchmark_hits(docs, bench, block=9).collect())) == sorted(map(str, one))
     want = sorted(map(str, decontamination.keep_clean(docs, bench).collect()))
     assert len(want) < docs.count() and any(r["doc_id"] is None for r in decontamination.keep_clean(docs, bench).collect())
-    assert sorted(map(str, decontamination.keep_clean(docs, bench, limit=1).collect())) == want
+    assert sorted(map(str, decontamination.keep_clean(docs, bench, block=9).collect())) == want
