@@ -33,9 +33,10 @@ def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return of
 
 
-def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, columns: int | tuple[int, ...], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, so that memory stays bounded."""
-    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    each = [pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in np.atleast_1d(columns).tolist()]
+    sizes = np.cumsum(sum(each))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))

@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
-Messages point to their parent. Jump pointers (a message to its ancestor 2, 4, 8, ... steps up) come from
-iterative self-joins, so a tree of any depth takes a logarithmic number of them; from the leaves they give
-every root-to-leaf path. Branches are ranked by the mean score of their messages, and each chosen path is
-formatted as one conversation with a mask over the assistant's texts.
+Messages point to their parent. Jump pointers (a message to its ancestor 2, 4, 8, ... steps up, and the scores
+on the way) come from iterative self-joins, so a tree of any depth takes a logarithmic number of them. From the
+leaves they give the mean score of every root-to-leaf path; branches are ranked by it, the chosen ones are
+followed message by message, and each is formatted as one conversation with a mask over the assistant's texts.
 """
 
 from __future__ import annotations
@@ -56,37 +56,55 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+def messages_once(messages: DataFrame, *said: str) -> DataFrame:
+    """One row a message: of rows with the same conv_id and node_id the first by parent_id, score and what it says."""
+    chosen = F.min(F.struct("parent_id", F.coalesce("score", F.lit(0.0)).alias("score"), *(F.coalesce(c, F.lit("")).alias(c) for c in said)))
+    return messages.where("conv_id is not null and node_id is not null").groupBy("conv_id", "node_id").agg(chosen.alias("m")).select("conv_id", "node_id", "m.*")
+
+
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(conv_id, branch, step, node_id) of the ``branches`` best root-to-leaf paths of each conversation.
 
     ``messages``: conv_id, node_id, parent_id (null or absent from the conversation: a root), score (null: 0). A leaf
-    is a message without replies. Ties go to the smaller leaf. Node ids are unique in a conversation and
-    replies form no cycle.
+    is a message without replies. Ties go to the smaller leaf. Repeated node ids are one message, the first by parent
+    and score; null ids are left out. Replies in a circle, and what hangs on one, have no root and so no path.
     """
-    nodes = messages.select("conv_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    jump = written(nodes.join(nodes.select("conv_id", F.col("node_id").alias("parent_id")), ["conv_id", "parent_id"]).select("conv_id", "node_id", F.col("parent_id").alias("up")), "jump0")
-    leaves = nodes.join(jump.select("conv_id", F.col("up").alias("node_id")).distinct(), ["conv_id", "node_id"], "left_anti")
+    nodes = written(messages_once(messages), "nodes")
+    up = nodes.select("conv_id", F.col("node_id").alias("parent_id"))
+    jump = written(nodes.join(up, ["conv_id", "parent_id"]).select("conv_id", "node_id", F.col("parent_id").alias("up"), F.col("score").alias("gain")), "jump0")
+    leaves = nodes.join(jump.select("conv_id", F.col("up").alias("node_id")).distinct(), ["conv_id", "node_id"], "left_anti").select("conv_id", "node_id")
+    largest = nodes.groupBy("conv_id").count().agg(F.max("count")).head()[0] or 0
     jumps = []
     while not jump.isEmpty():
+        if 1 << len(jumps) > largest:  # farther up than there are messages: these go round in a circle
+            leaves = leaves.join(jump.select("conv_id", "node_id").distinct(), ["conv_id", "node_id"], "left_anti")
+            break
         jumps.append(jump)
-        jump = written(jump.join(jump.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("far")), ["conv_id", "up"]).select("conv_id", "node_id", F.col("far").alias("up")), f"jump{len(jumps)}")
-    paths = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up_steps"))
+        far = jump.select("conv_id", F.col("node_id").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"))
+        jump = written(jump.join(far, ["conv_id", "up"]).select("conv_id", "node_id", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain")), f"jump{len(jumps)}")
+    walk = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("total"))
+    for k in range(len(jumps) - 1, -1, -1):  # every leaf to its root, by the longest jumps first
+        there = F.col("up").isNotNull()
+        walk = walk.join(jumps[k], ["conv_id", "node_id"], "left").select("conv_id", "leaf", F.coalesce("up", "node_id").alias("node_id"), (F.col("depth") + F.when(there, 1 << k).otherwise(0)).alias("depth"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"))
+    mean = (F.col("total") + F.col("score")) / (F.col("depth") + 1)
+    ranked = walk.join(nodes.select("conv_id", "node_id", "score"), ["conv_id", "node_id"]).select("conv_id", "leaf", "depth", mean.alias("mean"))
+    ranked = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("mean"), "leaf")).cast("long")).where(F.col("branch") <= branches)
+    paths = written(ranked.select("conv_id", "branch", F.col("leaf").alias("node_id"), F.col("depth").alias("step")), "chosen")
     for k in range(len(jumps) - 1, -1, -1):  # distances with and without 2^k: every ancestor once
-        far = paths.join(jumps[k], ["conv_id", "node_id"]).select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("up_steps") + (1 << k)).alias("up_steps"))
+        far = paths.join(jumps[k], ["conv_id", "node_id"]).select("conv_id", "branch", F.col("up").alias("node_id"), (F.col("step") - (1 << k)).alias("step"))
         paths = written(paths.union(far), f"paths{k}")  # else the plan would double with every step
-    ranked = paths.join(nodes.select("conv_id", "node_id", "score"), ["conv_id", "node_id"]).groupBy("conv_id", "leaf").agg(F.avg("score").alias("score"), F.max("up_steps").alias("depth"))
-    ranked = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")).cast("long")).where(F.col("branch") <= branches)
-    return paths.join(ranked, ["conv_id", "leaf"]).select("conv_id", "branch", (F.col("depth") - F.col("up_steps")).alias("step"), "node_id")
+    return paths.select("conv_id", "branch", "step", "node_id")
 
 
 def format_trees(messages: DataFrame, branches: int = 1, learn: str = "assistant") -> DataFrame:
     """Each chosen path of each conversation as one formatted text with the spans to learn from.
 
     ``messages``: conv_id, node_id, parent_id, score, role, text. Null role or text: empty. Empty table: no rows.
-    Null conv_ids are left out. Extra columns are ignored. A path is one text, so it must fit a task.
+    Null ids are left out; repeated node ids and circles as in ``best_paths``. Extra columns are ignored. Very long
+    texts are kept whole: a path is one text, so it must fit a task.
     """
-    messages = messages.where("conv_id is not null")
-    said = best_paths(messages, branches).join(messages.select("conv_id", "node_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["conv_id", "node_id"])
+    messages = written(messages_once(messages, "role", "text"), "messages")
+    said = best_paths(messages, branches).join(messages.select("conv_id", "node_id", "role", "text"), ["conv_id", "node_id"])
     turns = said.groupBy("conv_id", "branch").agg(F.array_sort(F.collect_list(F.struct("step", "role", "text"))).alias("turns")).select("conv_id", "branch", "turns.role", "turns.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

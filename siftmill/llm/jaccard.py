@@ -152,7 +152,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, 2, 1 << 19):
+            for block in blocks(batch, (2, 3)):
                 a, b = (shingle_sets(block.column(i), width) for i in (2, 3))
                 na, nb = (np.bincount(x[0], minlength=block.num_rows) for x in (a, b))
                 owner, element = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])

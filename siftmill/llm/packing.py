@@ -1,8 +1,8 @@
 """Best-fit packing: few-document length patterns, repeat counts by non-negative least squares, residuals by best fit.
 
 The plan needs only the histogram of piece lengths, which has at most ``capacity`` entries whatever the
-corpus size. Pieces are then ranked within their length (over salts, so that one very common length is
-no single group) and a piece's length and rank give its sequence and place.
+corpus size. Pieces are then ranked within their length (common lengths over salts, so that none is a single
+group) and a piece's length and rank give its sequence and place.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .arrow import blocks, lean
 from .bpe import CachedEncoder
-from .common import partitions, written
+from .common import written
 
+#: Pieces of a length are ranked in groups: of at least so many rows, and about so many groups in all, so that their sizes can be broadcast.
+LEAST_GROUP, GROUPS = 2_000, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -126,14 +128,17 @@ def _exact_pair(free: np.ndarray, room: int) -> list[int] | None:
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``: pieces of a sequence lie gapless from 0 and sum to at most ``capacity``."""
-    spark = pieces.sparkSession
-    salts = partitions(spark)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    salted = pieces.withColumn("salt", salt)
-    per = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "length_counts")
+    spark, columns = pieces.sparkSession, ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if "nr" not in pieces.columns:
+        pieces = written(pieces.select(*columns, F.monotonically_increasing_id().alias("nr")), "numbered")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in per.groupBy("length").agg(F.sum("n")).collect():  # at most one row per length
+    for length, n in pieces.groupBy("length").count().collect():  # at most one row per length
         counts[length] = n
+    # only common lengths are dealt over salts: about GROUPS groups in all, whatever the number of pieces
+    most = max(LEAST_GROUP, -(-int(counts.sum()) // GROUPS))
+    salts = spark.createDataFrame([(int(n), int(-(-counts[n] // most))) for n in np.flatnonzero(counts)], "length long, salts int")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("nr"), F.col("salts")).cast("int"))
+    per = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "length_counts")
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     used, base = np.zeros(capacity + 1, dtype=np.int64), 0
     for pattern, r in pack_plan(counts, capacity):
@@ -146,8 +151,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     lo, seq, off, span = (np.array([s[i] for n in sorted(slots) for s in slots[n]], dtype=np.int64) for i in range(4))
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(per.withColumn("before", before).drop("n"), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("nr")) - 1)
+    ranked = ranked.join(F.broadcast(per.withColumn("before", before).drop("n")), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.searchsorted(span, np.arange(capacity + 2))
@@ -159,14 +164,15 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
                 at[rows] = starts[n] + np.searchsorted(lo[starts[n] : starts[n + 1]], rank[rows], "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq[at] + rank - lo[at]), pa.array(off[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*columns, F.col("rank").cast("long")).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Tokenises every document once and packs the pieces.
 
-    Empty table: no rows. Null or empty text: one piece of one token. Ties in length are ordered by doc_id
-    and piece. Repeated rows are packed each. Null doc_ids are kept. Extra columns are ignored.
+    Empty table: no rows. Null or empty text: one piece of one token. Ties in length are ordered by the number a
+    piece got when it was written. Repeated rows are packed each. Null doc_ids are kept. Extra columns are ignored.
+    Very long texts are encoded whole, one at a time.
     """
-    return pack(written(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, end_id).withColumn("nr", F.monotonically_increasing_id())
+    return pack(written(pieces, "pieces"), capacity)

@@ -24,7 +24,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
-    return token_files.read_token_files(spark, folder, vocab_size=50_257)
+    return token_files.read_token_files(spark, folder)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

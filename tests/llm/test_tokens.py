@@ -33,12 +33,12 @@ def test_token_files_round_trip(spark, sf, odd_docs):
         rows = sorted(docs.collect(), key=_key)
         ids = _ids([r["text"] for r in rows])
         n = np.array([len(x) for x in ids])
-        got = sorted(token_files.read_token_files(spark, token_files.write_token_files(docs, path), 50_257).collect(), key=lambda r: r["start"])
+        got = sorted(token_files.read_token_files(spark, token_files.write_token_files(docs, path)).collect(), key=lambda r: r["start"])
         assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(r["doc_id"], s, k, _crc(x)) for r, s, k, x in zip(rows, (np.cumsum(n) - n).tolist(), n.tolist(), ids)]
 
 
 def test_token_files_empty(spark, empty_docs):
-    assert token_files.read_token_files(spark, token_files.write_token_files(empty_docs, public_tokenizers.path("byte_bpe_50k.json")), 50_257).count() == 0
+    assert token_files.read_token_files(spark, token_files.write_token_files(empty_docs, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
 def test_token_counts(spark, sf, odd_docs, empty_docs):
@@ -99,3 +99,43 @@ def test_pack_plan_uses_every_piece_once():
         for n in pattern:
             left[n] -= r
     assert not left.any()
+
+
+def test_token_files_say_their_format(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    folder = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder=str(tmp_path / "plain path"))
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    assert {tuple(r) for r in manifest.select("id_bytes", "version").collect()} == {(2, token_files.VERSION)} and folder.startswith("file:/")
+    assert token_files.read_token_files(spark, folder).count() == 20
+    other = str(tmp_path / "other")
+    manifest.withColumn("version", F.lit(99)).write.parquet(f"{other}/manifest")
+    with pytest.raises(ValueError):
+        token_files.read_token_files(spark, other)
+
+
+def test_a_very_common_length_is_ranked_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST_GROUP", 100)
+    rows = [(7, 0, 0, 256, 5)] * 900 + [(i, 0, 0, 1 + i % 255, 5) for i in range(600)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
+    got = packing.pack(pieces, 256).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 256
+
+
+@pytest.mark.parametrize("capacity", [512, 2048])
+def test_packing_of_wide_histograms_is_near_the_lower_bound(capacity):
+    """Triples are fitted among 192 lengths only; pieces of other lengths still pack as pairs and residuals."""
+    rng = np.random.default_rng(5)
+    for lengths in (rng.integers(1, capacity + 1, 20_000), rng.integers(1, capacity // 3, 20_000), np.minimum(capacity, 1 + rng.lognormal(np.log(capacity / 6), 1.0, 20_000).astype(int))):
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        sequences = sum(r for _, r in packing.pack_plan(counts, capacity))
+        # a sequence holds one piece longer than half of it, and no more tokens than its capacity
+        bound = max(-(-int(lengths.sum()) // capacity), int(counts[capacity // 2 + 1 :].sum()))
+        assert sequences <= 1.02 * bound + 2
