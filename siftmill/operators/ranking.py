@@ -7,14 +7,19 @@ are ranked, so that the order of a sum does not matter.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
+from ..sources.stages import written
 
 #: Additive weight of a source type; fixed values.
 BOOSTS = {"textbook": 0.15, "qa_pair": 0.10, "standard": 0.08, "sop": 0.05, "manual": 0.02, "paper": -0.03}
@@ -25,21 +30,100 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> Da
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, n: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def _in_blocks(queries: DataFrame, n_blocks: int) -> list[DataFrame]:
+    """The queries dealt by hash."""
+    return [queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
+
+
+def _best(queries: np.ndarray, keys: np.ndarray, scores: np.ndarray, n: int, positive: bool = False) -> pd.DataFrame:
+    """The first ``n`` keys of each query by score (one column a query), ties by key."""
+    rows = []
+    for q in range(len(queries)):
+        order = np.lexsort((keys, -scores[:, q]))[:n]
+        order = order[scores[order, q] > 0] if positive else order
+        rows.append((np.full(len(order), queries[q]), keys[order], scores[order, q]))
+    query, key, score = (np.concatenate(x) for x in zip(*rows))
+    return pd.DataFrame({"query_id": query, "id": key, "score": score})
+
+
+def _term_counts(terms: list[str]):
+    """Arrow batches of (id, words) to (id, dl, codes, counts): what a document has of the asked terms, counted in its row."""
+    known = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = pc.index_in(words.flatten(), value_set=known)
+            row = np.repeat(np.arange(len(n)), n)[code.is_valid().to_numpy(zero_copy_only=False)]
+            found, times = np.unique(row * max(1, len(terms)) + code.drop_null().to_numpy(), return_counts=True)
+            ends = np.searchsorted(found, np.arange(len(n) + 1) * max(1, len(terms))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (found % max(1, len(terms)), times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *lists], names=["id", "dl", "codes", "counts"])
+
+    return run
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, n: int, k1: float = 1.5, b: float = 0.75, block: int = 128, most_terms: int = 1_000_000) -> DataFrame:
     """(query_id, id, score, rank) by corpus-wide Okapi weights; only documents that share a term are scored.
 
-    ``corpus``: id, text. ``queries``: query_id, text. The corpus is exploded once and kept to query terms
-    before anything is shuffled by term; a very common term is spread by the join's skew handling.
+    ``corpus``: id (a long), text. ``queries``: query_id, text; a stated set. The corpus is tokenised once: each row counts
+    its asked terms, and these counts are written. From them come document frequencies and, for ``block`` queries at a
+    time, the scores; only each query's first ``n`` of a batch leave a task, so no postings are shuffled. Queries
+    with more than ``most_terms`` terms in all are dealt into several runs.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.lower("text")))).alias("term"))
-    words = corpus.select("id", X.tokens(F.lower("text")).alias("w"))
-    size = words.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
-    postings = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(postings, "term").join(df, "term").join(F.broadcast(size)).groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col("id")], n)
+    spark = corpus.sparkSession
+    terms_of = lambda q: q.select("query_id", F.array_distinct(X.tokens(F.lower("text"))).alias("terms"))
+    n_terms = terms_of(queries).select(F.explode("terms").alias("t")).agg(F.count_distinct("t")).head()[0]
+    parts = [_bm25(spark, corpus, terms_of(own), n, k1, b, block) for own in _in_blocks(queries, max(1, -(-n_terms // most_terms)))]
+    found = reduce(DataFrame.unionByName, [p for part in parts for p in part] or [spark.createDataFrame([], "query_id long, id long, score double")])
+    return top(found, ["query_id"], [F.desc("score"), F.col("id")], n)
+
+
+def _bm25(spark, corpus: DataFrame, asked: DataFrame, n: int, k1: float, b: float, block: int) -> list[DataFrame]:
+    terms = [r[0] for r in asked.select(F.explode("terms")).distinct().collect()]  # of the stated queries, bounded by the caller
+    words = corpus.select(F.col("id").cast("long").alias("id"), X.tokens(F.lower("text")).alias("w"))
+    counted = written(words.mapInArrow(_term_counts(terms), "id long, dl long, codes array<int>, counts array<int>"), "bm25")
+    docs, mean = counted.agg(F.count("*"), F.avg("dl")).head()
+    df = np.zeros(len(terms))
+    for code, count in counted.select(F.explode("codes").alias("c")).groupBy("c").count().collect():  # at most a row a term
+        df[code] = count
+    idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
+    place = {t: i for i, t in enumerate(terms)}
+    out = []
+    for own in _in_blocks(asked, max(1, -(-asked.count() // block))):
+        rows = [(q, t) for q, t in own.collect() if t]
+        if not rows:
+            continue
+        weights = np.zeros((len(terms), len(rows)), dtype=np.float64)
+        for j, (_, its) in enumerate(rows):
+            codes = [place[t] for t in its]
+            weights[codes, j] = idf[codes]
+        used = np.flatnonzero(weights.any(axis=1))
+        number = np.full(len(terms), -1)
+        number[used] = np.arange(len(used))
+        held = spark.sparkContext.broadcast((np.array([q for q, _ in rows]), number, weights[used]))  # a block's terms times its queries
+
+        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pd.DataFrame]:
+            ids, number, weights = held.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    dl, codes = part.column(1).to_numpy(), number[part.column(2).flatten().to_numpy()]
+                    size = pc.list_value_length(part.column(2)).to_numpy()
+                    doc, tf = np.repeat(np.arange(len(size)), size)[codes >= 0], part.column(3).flatten().to_numpy()[codes >= 0].astype(np.float64)
+                    part_of = np.unique(doc)
+                    if not len(part_of):
+                        continue
+                    tf *= (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / mean))
+                    s = np.zeros((len(part_of), len(ids)))
+                    for k, d in enumerate(part_of):  # one product a document: its terms against the block
+                        lo, hi = np.searchsorted(doc, [d, d + 1])
+                        s[k] = tf[lo:hi] @ weights[codes[codes >= 0][lo:hi]]
+                    yield pa.RecordBatch.from_pandas(_best(ids, part.column(0).to_numpy()[part_of], np.where(s > 0, np.maximum(np.round(s, 6), 1e-300), 0), n, positive=True), preserve_index=False)
+
+        out.append(counted.mapInArrow(score, "query_id long, id long, score double").withColumn("score", F.round("score", 6)))
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,10 +145,8 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int, threshold: float | None =
     """
     spark = corpus.sparkSession
     numbered = queries.select("query_id", "vector")
-    n_blocks = max(1, -(-numbered.count() // block))
     out = None
-    for k in range(n_blocks):
-        own = numbered if n_blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == k)
+    for own in _in_blocks(numbered, max(1, -(-numbered.count() // block))):
         rows = own.collect()  # about ``block`` queries, none of the corpus
         if not rows:
             continue
@@ -75,10 +157,7 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int, threshold: float | None =
             for batch in batches:
                 if len(batch):
                     s = np.round(np.stack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T, 6)
-                    key = batch["id"].to_numpy()
-                    for q in range(len(ids)):
-                        order = np.lexsort((key, -s[:, q]))[:n]
-                        yield pd.DataFrame({"query_id": ids[q], "id": key[order], "similarity": s[order, q]})
+                    yield _best(ids, batch["id"].to_numpy(), s, n).rename(columns={"score": "similarity"})
 
         part = corpus.select("id", "vector").mapInPandas(score, "query_id long, id long, similarity double")
         out = part if out is None else out.unionByName(part)
@@ -125,6 +204,38 @@ def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]
     return score
 
 
+def model_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> Callable[[Column], Column]:
+    """A vector column from a user's text model; the model is loaded once in a worker and called in batches."""
+
+    @pandas_udf("array<double>")
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for t in texts:
+            t = t.fillna("")
+            yield pd.Series([list(map(float, v)) for i in range(0, len(t), batch) for v in model(t[i : i + batch].tolist())], dtype=object)
+
+    return encode
+
+
+def vectorise(df: DataFrame, key: str, text: str, encoder: Callable[[Column], Column] | None = None, dims: int = 256) -> DataFrame:
+    """(key, vector): unit vectors by the encoder, or hashed terms weighted by inverse document frequency; null for texts without words."""
+    if encoder is not None:
+        return df.select(key, l2_normalise(encoder(F.col(text))).alias("vector"))
+    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    words = df.select(key, X.tokens(F.lower(text)).alias("words"))
+    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=dims).transform(words.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
+    weighted = IDF(inputCol="tf", outputCol="weight").fit(counted).transform(counted)
+    return weighted.select(key, F.when(F.size("words") > 0, l2_normalise(vector_to_array("weight"))).alias("vector"))
+
+
+def same_questions(questions: DataFrame, key: str, *decisive: Column) -> DataFrame:
+    """(key, runs_as): each question with the first one that is equal in everything that decides its result."""
+    hashed = questions.select(key, F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in decisive))).alias("same"))
+    return hashed.join(hashed.groupBy("same").agg(F.min(key).alias("runs_as")), "same").select(key, "runs_as")
+
+
 def rerank(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """A second score on query and passage decides; equal scores keep the given order; always at most ``n`` rows."""
     joined = ranked.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(corpus.select("id", F.col("text").alias("p")), "id")
@@ -151,16 +262,32 @@ def pack_context(ranked: DataFrame, text: str, score: str, budget: int = 7200, s
     return packed.select("query_id", "n_chunks", F.array_join("p.piece", "\n---\n").alias("context"))
 
 
-def lsh_neighbours(corpus: DataFrame, queries: DataFrame, n: int, dims: int, tables: int = 24, bits: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate nearest vectors: random-hyperplane signs in ``tables`` bands, an equi-join, and exact scores."""
-    planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
-
-    @pandas_udf("array<long>")
-    def bands(vectors: pd.Series) -> pd.Series:
-        sign = (np.stack(vectors.to_numpy()) @ planes > 0).reshape(len(vectors), tables, bits)
-        return pd.Series(list((sign * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)))
+def lsh_neighbours(corpus: DataFrame, queries: DataFrame, n: int, dims: int, tables: int = 32, bits: int = 12, probes: int = 2, reach: int = 10, seed: int = 42) -> DataFrame:
+    """Approximate nearest vectors: random-hyperplane signs in ``tables`` bands, an equi-join of ids, and exact scores.
 
-    side = lambda d, key: d.select(key, "vector", F.explode(bands("vector")).alias("band"))
-    c, q = side(corpus, "id"), side(queries, "query_id").withColumnRenamed("vector", "q")
-    pairs = q.join(c, "band").select("query_id", "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("similarity")).distinct()
-    return top(pairs, ["query_id"], [F.desc("similarity"), F.col("id")], n)
+    A vector is stored once in each band. A query looks also into the buckets that differ in up to ``probes`` of its
+    ``reach`` least certain signs (of the planes it lies closest to). The join carries ids only; vectors are fetched for
+    the distinct candidates.
+    """
+    planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
+    flips = [f for k in range(probes + 1) for f in combinations(range(min(bits, reach)), k)]
+
+    def keys(vectors: pd.Series, probe: bool) -> pd.Series:
+        at = (np.stack(vectors.to_numpy()) @ planes).reshape(len(vectors), tables, bits)
+        power = np.int64(1) << np.arange(bits, dtype=np.int64)
+        code = ((at > 0) * power).sum(axis=2)
+        found = code[:, :, None]
+        if probe:
+            unsure = power[np.argsort(np.abs(at), axis=2)]
+            found = np.stack([code ^ sum((unsure[:, :, i] for i in f), np.int64(0)) for f in flips], axis=2)
+        band = np.arange(tables, dtype=np.int64)[None, :, None] << bits
+        return pd.Series(list((found + band).reshape(len(vectors), -1)))
+
+    stored = pandas_udf(lambda v: keys(v, False), "array<long>")
+    probed = pandas_udf(lambda v: keys(v, True), "array<long>")
+    c = corpus.select("id", F.explode(stored("vector")).alias("band"))
+    q = queries.select("query_id", F.explode(probed("vector")).alias("band"))
+    pairs = q.join(c, "band").select("query_id", "id").distinct()
+    pairs = pairs.join(queries.select("query_id", F.col("vector").alias("q")), "query_id").join(corpus.select("id", "vector"), "id")
+    scored = pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("similarity"))
+    return top(scored, ["query_id"], [F.desc("similarity"), F.col("id")], n)

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking
-from ..sources import readers
+from ..sources import readers, stages
 from ..streaming import jobs
 from .registry import Tables, query
 
 
 def folder(t: Tables, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return stages.folder(t.spark, name)
 
 
 @query("chunk_sentences")

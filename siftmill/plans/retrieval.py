@@ -25,7 +25,7 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def query_vectors(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _bm25_sql(n: int) -> str:
@@ -40,7 +40,7 @@ def _(t: Tables) -> DataFrame:
     return R.bm25(corpus(t), asked(t), 5).select("query_id", "id", "score", "rank")
 
 
-_KNN = "k AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id < 20)"
+_KNN = "k AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)"
 
 
 def _top(source: str, n: int, extra: str = "") -> str:
@@ -75,12 +75,16 @@ def _(t: Tables) -> DataFrame:
     return _two(t)
 
 
-_RRF = f"WITH {_TWO}, {_bm25_sql(8)}, u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS s, 0 AS list_no FROM two UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank), 1 FROM bm WHERE query_id < 20), g AS (SELECT query_id, id, round(sum(s), 9) AS score, min(list_no) AS list_no FROM u GROUP BY ALL), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list_no, id)::INT AS rank FROM g)"
+_RRF = f"WITH {_TWO}, {_bm25_sql(8)}, u AS (SELECT query_id // 50 AS query_id, id, 1.0::DOUBLE / (60 + rank) AS s, 0 AS list_no FROM two UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank), 1 FROM bm), g AS (SELECT query_id, id, round(sum(s), 9) AS score, min(list_no) AS list_no FROM u GROUP BY ALL), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list_no, id)::INT AS rank FROM g)"
+
+
+def _dense(t: Tables) -> DataFrame:
+    """The dense lists of the benchmark's items: the vector with 50 times an item's id stands for it."""
+    return _two(t).withColumn("query_id", F.floor(F.col("query_id") / 50))
 
 
 def _fused(t: Tables) -> DataFrame:
-    lexical = R.bm25(corpus(t), asked(t), 8).where("query_id < 20")
-    return R.rrf([_two(t), lexical])
+    return R.rrf([_dense(t), R.bm25(corpus(t), asked(t), 8)])
 
 
 @query("rrf_fuse", f"{_RRF} SELECT query_id, id, score, list_no, rank FROM fused")
@@ -110,15 +114,15 @@ def _(t: Tables) -> DataFrame:
     return R.boost(d, F.coalesce("kind", F.lit("")), "similarity").select("query_id", "id", "similarity", "rank")
 
 
-def hybrid(t: Tables, fusion: str = "union", n: int = 6) -> DataFrame:
+def hybrid(t: Tables, queries: DataFrame, fusion: str = "union", n: int = 6) -> DataFrame:
     """Dense, then lexical, fused, re-ranked on the texts, boosted by source type.
 
-    ``fusion="disjoint"`` takes lexical rows the dense list already has out before the fusion.
+    ``queries``: query_id, text. ``fusion="disjoint"`` takes lexical rows the dense list already has out before the fusion.
     """
-    dense, lexical = _two(t), R.bm25(corpus(t), asked(t), 8).where("query_id < 20")
+    dense, lexical = _dense(t), R.bm25(corpus(t), queries, 8)
     if fusion == "disjoint":
         lexical = lexical.join(dense.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    best = R.rerank(R.rrf([dense, lexical]).drop("list_no"), asked(t), corpus(t), n)
+    best = R.rerank(R.rrf([dense, lexical]).drop("list_no"), queries, corpus(t), n)
     d = best.join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
     kind = F.when(F.col("source") == "src0", "textbook").when(F.col("source") == "src1", "paper").otherwise("")
     return R.boost(d, kind, "rerank_score").select("query_id", "id", "rerank_score", "rank")
@@ -131,16 +135,21 @@ hybrid AS (SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY qu
 
 @query("hybrid_retrieve", f"{_HYBRID} SELECT * FROM hybrid")
 def _(t: Tables) -> DataFrame:
-    return hybrid(t)
+    return hybrid(t, asked(t))
+
 
+_GLOSSARY = {"than": "that", "que": "qui"}
+_EXPANDED = """asked AS (SELECT item_id, text || CASE WHEN len(found) > 0 THEN ' (' || array_to_string(found, ', ') || ')' ELSE '' END AS text,
+CASE WHEN regexp_matches(text[1:50], '[\u0600-\u06FF]') THEN 'fa' ELSE 'en' END AS language FROM (SELECT *, list_filter([CASE WHEN contains(lower(text), 'than') THEN 'that' END, CASE WHEN contains(lower(text), 'que') THEN 'qui' END], lambda x: x IS NOT NULL) AS found FROM benchmark))"""
 
-@query("auto_lang_retrieve")
+
+@query("auto_lang_retrieve", _HYBRID.replace("WITH ", f"WITH {_EXPANDED}, ", 1).replace("JOIN benchmark b", "JOIN asked b").replace("AS term FROM benchmark", "AS term FROM asked") + " SELECT hybrid.*, language FROM hybrid JOIN asked ON item_id = query_id")
 def _(t: Tables) -> DataFrame:
-    """Language tag and glossary expansion before the lexical search; no language filter."""
+    """Language tag and glossary expansion before the hybrid retrieval; no language filter."""
     from ..operators.joins import glossary_matches
 
-    q = glossary_matches(asked(t), "query_id", "text", {"than": "that", "que": "qui"}).withColumn("language", X.script_language(F.col("text")))
-    return R.bm25(corpus(t), q.select("query_id", F.col("expanded").alias("text")), 5).join(q.select("query_id", "language"), "query_id")
+    q = glossary_matches(asked(t), "query_id", "text", _GLOSSARY).withColumn("language", X.script_language(F.col("text")))
+    return hybrid(t, q.select("query_id", F.col("expanded").alias("text"))).join(q.select("query_id", "language"), "query_id")
 
 
 @query("context_pack", f"""WITH {_bm25_sql(8)}, pc AS (SELECT bm.query_id, bm.rank, CASE WHEN bm.rank > 3 AND bm.score < 25 THEN d.text[1:500] ELSE d.text[1:1000] END AS piece FROM bm JOIN documents d ON d.doc_id = bm.id),
@@ -175,11 +184,11 @@ def _(t: Tables) -> DataFrame:
 _PREFIX = "list_transform(embedding[1:16], lambda x: x::DOUBLE / sqrt(list_dot_product(embedding[1:16]::DOUBLE[], embedding[1:16]::DOUBLE[])))"
 
 
-@query("semantic_match", f"""WITH p AS (SELECT vec_id, label, {_PREFIX} AS v FROM embeddings), m AS (SELECT a.vec_id, b.vec_id AS cached, round(list_dot_product(a.v, b.v), 6) AS similarity FROM p a JOIN p b ON a.label = b.label AND b.vec_id >= 20 WHERE a.vec_id < 20)
+@query("semantic_match", f"""WITH p AS (SELECT vec_id, label, {_PREFIX} AS v FROM embeddings), m AS (SELECT a.vec_id, b.vec_id AS cached, round(list_dot_product(a.v, b.v), 6) AS similarity FROM p a JOIN p b ON a.label = b.label AND b.vec_id % 50 <> 0 WHERE a.vec_id % 50 = 0)
 SELECT vec_id, cached, similarity, similarity >= 0.92 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, cached) AS r FROM m) WHERE r = 1""")
 def _(t: Tables) -> DataFrame:
     p = t.embeddings.select("vec_id", "label", R.l2_normalise(F.col("embedding"), 16).alias("v"))
-    a, b = p.where("vec_id < 20"), p.where("vec_id >= 20").select(F.col("vec_id").alias("cached"), "label", F.col("v").alias("w"))
+    a, b = p.where("vec_id % 50 = 0"), p.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("cached"), "label", F.col("v").alias("w"))
     m = a.join(b, "label").select("vec_id", "cached", F.round(R.dot(F.col("v"), F.col("w")), 6).alias("similarity"))
     return R.top(m, ["vec_id"], [F.desc("similarity"), F.col("cached")], 1).select("vec_id", "cached", "similarity", (F.col("similarity") >= 0.92).alias("hit"))
 
@@ -190,34 +199,28 @@ def _(t: Tables) -> DataFrame:
     return d.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.col("v")[0], 5).alias("first"))
 
 
-@query("query_dedup", "SELECT item_id, first_value(item_id) OVER (PARTITION BY md5(left(text, 4)) ORDER BY item_id) AS runs_as FROM benchmark")
+@query("query_dedup", "SELECT item_id, min(item_id) OVER (PARTITION BY md5(text || '|8|en|')) AS runs_as FROM (SELECT * FROM benchmark UNION ALL SELECT item_id + 1000000, text FROM benchmark WHERE item_id % 5 = 0)")
 def _(t: Tables) -> DataFrame:
-    key = t.benchmark.select("item_id", F.md5(F.substring("text", 1, 4)).alias("key"))
-    runs = key.groupBy("key").agg(F.min("item_id").alias("runs_as"))
-    return key.join(runs, "key").select("item_id", "runs_as")
+    """Each question with the first that has the same text and parameters; every fifth is asked twice."""
+    again = t.benchmark.where("item_id % 5 = 0").withColumn("item_id", F.col("item_id") + 1000000)
+    return R.same_questions(t.benchmark.unionByName(again), "item_id", F.col("text"), F.lit(8), F.lit("en"), F.lit(""))
 
 
-@query("kw_coverage", r"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: length(x) > 3)) AS r, list_distinct(regexp_split_to_array(lower(d.text), '\s+')) AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+@query("kw_coverage", r"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: length(x) > 3)) AS r, list_distinct(regexp_split_to_array(lower(d.text), '\s+')) AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, round(CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_intersect(r, a)) / len(r) END, 6) AS coverage FROM d""")
 def _(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(t.benchmark.select("item_id", F.col("text").alias("r")), "item_id")
+    d = t.documents.select("doc_id", "text", (F.col("doc_id") % t.benchmark.count()).alias("item_id")).join(t.benchmark.select("item_id", F.col("text").alias("r")), "item_id")
     return d.select("doc_id", F.round(X.keyword_coverage(F.col("text"), F.col("r")), 6).alias("coverage"))
 
 
-@query("kw_overlap", r"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: length(x) > 3)) AS r, lower(d.text) AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+@query("kw_overlap", r"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: length(x) > 3)) AS r, lower(d.text) AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, round(CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_filter(r, lambda x: contains(a, x))) / len(r) END, 6) AS overlap FROM d""")
 def _(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(t.benchmark.select("item_id", F.col("text").alias("r")), "item_id")
+    d = t.documents.select("doc_id", "text", (F.col("doc_id") % t.benchmark.count()).alias("item_id")).join(t.benchmark.select("item_id", F.col("text").alias("r")), "item_id")
     return d.select("doc_id", F.round(X.keyword_overlap(F.col("text"), F.col("r")), 6).alias("overlap"))
 
 
 @query("vectorise")
 def _(t: Tables) -> DataFrame:
     """Hashed term weights as unit vectors, when no encoder is supplied."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-
-    d = t.documents.select("doc_id", X.tokens(F.lower("text")).alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=256).transform(d)
-    from pyspark.ml.functions import vector_to_array
-
-    return Normalizer(inputCol="tf", outputCol="unit").transform(hashed).select("doc_id", F.transform(vector_to_array("unit"), lambda x: F.round(x, 6)).alias("vector"))
+    return R.vectorise(t.documents, "doc_id", "text").select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))

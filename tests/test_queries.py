@@ -9,8 +9,6 @@ import pytest
 from siftmill import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Their parameters name places of the larger tables.
-NOT_AT_THIS_SIZE = {"kw_coverage", "kw_overlap"}
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +43,7 @@ def rows(data, columns):
 def test_query(spark, sf, duck, name):
     df = plans.QUERIES[name](spark, sf)
     got = rows([tuple(r) for r in df.collect()], df.columns)
-    if name in plans.ORACLE_SQL and name not in NOT_AT_THIS_SIZE:
+    if name in plans.ORACLE_SQL:
         found = duck.execute(plans.ORACLE_SQL[name])
         columns = [c[0] for c in found.description]
         assert sorted(columns) == sorted(df.columns)
