@@ -136,7 +136,7 @@ def section_items(text: Column, heading: str, least: int, most_items: int) -> Co
 def middle_out(text: Column, most: int, separator: str = "\n\n") -> Column:
     """Unchanged if short; with up to two paragraphs cut at a word; else the first, as many middle ones as fit, and the last."""
     parts = F.split(text, separator)
-    cut = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*\z", "")
     ends = F.length(parts[0]) + F.length(F.element_at(parts, -1)) + 2 * len(separator)
     start = F.struct(F.array().cast("array<string>").alias("kept"), ends.cast("int").alias("used"), F.lit(False).alias("full"))
 

@@ -8,72 +8,95 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_END = re.compile(r"(?<=[.!?؟۔])\s+")
+_STOP, _STOP_BEFORE_CAPITAL = re.compile(r"(?<=[.!?؟۔])\s+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+_PLAIN_STOP = re.compile(r"(?<=[.!?])\s+")
 
 
-def _units(text: str) -> list[str]:
-    return [s for s in _END.split(" ".join(text.split())) if s]
+def sentences_of(text: str, language: str = "en") -> list[str]:
+    """White space collapsed, cut after a stop: for ``fa`` at any space behind one, else only where a capital follows."""
+    pattern = _STOP if language == "fa" else _STOP_BEFORE_CAPITAL
+    return [s for s in pattern.split(" ".join(text.split())) if s]
 
 
-def sentence_chunks(text: str, budget: int = 512, overlap: int = 64, count: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
+def estimated_tokens(text: str) -> int:
+    """Four characters a token, one at least; a tokenizer's own count can be given instead."""
+    return max(1, -(-len(text) // 4))
+
+
+def _packed(pieces: list[str], room: int, count: Callable[[str], int]) -> Iterator[list[str]]:
+    """Runs of pieces that fit the room; one that is too large stands alone."""
+    held, used = [], 0
+    for piece in pieces:
+        n = count(piece)
+        if held and used + n > room:
+            yield held
+            held, used = [], 0
+        held.append(piece)
+        used += n
+    if held:
+        yield held
+
+
+def sentence_chunks(text: str, budget: int = 512, overlap: int = 64, count: Callable[[str], int] = estimated_tokens, language: str = "en") -> list[str]:
     """Sentences packed to a token budget; a chunk starts with the last sentences of the one before that fit the overlap.
 
-    A sentence over the budget closes the chunk, is cut by words, and nothing overlaps it.
+    So a chunk may pass the budget by what overlaps. A sentence over the budget closes the chunk, is packed by
+    words, and nothing overlaps it.
     """
     out: list[str] = []
     held: list[tuple[str, int]] = []
-
-    def close() -> None:
-        if held:
-            out.append(" ".join(s for s, _ in held))
-
-    for sentence in _units(text):
+    for sentence in sentences_of(text, language):
         n = count(sentence)
+        if held and (n > budget or sum(k for _, k in held) + n > budget):
+            out.append(" ".join(s for s, _ in held))
+            room = overlap if n <= budget else -1
+            keep = len(held)
+            while keep and (room := room - held[keep - 1][1]) >= 0:
+                keep -= 1
+            held = held[keep:]
         if n > budget:
-            close()
-            held = []
-            words = sentence.split()
-            out += [" ".join(words[i : i + budget]) for i in range(0, len(words), budget)]
-            continue
-        if held and sum(k for _, k in held) + n > budget:
-            close()
-            tail: list[tuple[str, int]] = []
-            for s, k in reversed(held):
-                if sum(x for _, x in tail) + k > overlap or sum(x for _, x in tail) + k + n > budget:
-                    break
-                tail.insert(0, (s, k))
-            held = tail
-        held.append((sentence, n))
-    close()
-    return out
+            out += [" ".join(words) for words in _packed(sentence.split(), budget, count)]
+        else:
+            held.append((sentence, n))
+    return [*out, " ".join(s for s, _ in held)] if held else out
 
 
 def fixed_chunks(text: str, size: int = 1000, overlap: int = 200, reach: int = 100, least: int = 50) -> list[str]:
-    """Windows of ``size`` characters, cut back to a full stop or newline within ``reach``; a tail that a chunk already holds comes too."""
+    """Windows of ``size`` characters, cut back to the last full stop or newline within ``reach``; the next one starts ``overlap`` before.
+
+    A text of at most ``size`` is one chunk as it is. Pieces of at most ``least`` characters are left out.
+    """
+    if len(text) <= size:
+        return [text] if text else []
     out, at = [], 0
     while at < len(text):
-        end = min(at + size, len(text))
+        end = at + size
         if end < len(text):
-            back = max(text.rfind(".", end - reach, end), text.rfind("\n", end - reach, end))
-            end = back + 1 if back > at else end
+            back = max(text.rfind(c, end - reach, end) for c in ".\n")
+            end = back + 1 if back >= 0 else end
         piece = text[at:end].strip()
-        if len(piece) > least:
-            out.append(piece)
-        at = max(end - overlap, at + 1) if end < len(text) or end - overlap > at else len(text)
+        out += [piece] if len(piece) > least else []
+        at = end - overlap
     return out
 
 
 def paragraph_chunks(text: str, size: int = 1500, separator: str = "\n\n") -> list[str]:
-    """Paragraphs packed to ``size`` characters; a longer one is cut by sentences."""
-    out, held = [], ""
-    parts = [p.strip() for p in text.split(separator) if p.strip()]
-    for part in [q for p in parts for q in ([p] if len(p) <= size else _units(p))]:
-        if held and len(held) + len(separator) + len(part) > size:
-            out.append(held)
-            held = part
-        else:
-            held = f"{held}{separator}{part}" if held else part
-    return [*out, held] if held else out
+    """Paragraphs packed to ``size`` characters, separators not counted; a longer one is cut by sentences that share no chunk with others."""
+    out: list[str] = []
+    small: list[str] = []
+
+    def flush() -> None:
+        out.extend(separator.join(run) for run in _packed(small, size, len))
+        small.clear()
+
+    for part in filter(None, (p.strip() for p in text.split(separator))):
+        if len(part) <= size:
+            small.append(part)
+            continue
+        flush()
+        out.extend(" ".join(run) for run in _packed(_PLAIN_STOP.split(part), size, len))
+    flush()
+    return out
 
 
 def chunked(df: DataFrame, key: str, text: str, chunker: Callable[[str], list[str]]) -> DataFrame:

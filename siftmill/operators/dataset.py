@@ -64,8 +64,12 @@ def cap_groups(df: DataFrame, by: str, key: str, seed: str, caps: dict[str, int]
     return df.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
 
 
-def distractors(df: DataFrame, key: str, text: str, seed: str, buckets: int = 16, piece: int = 800, most: int = 6000) -> DataFrame:
-    """Adds ``context``: the row's own text among those of its next three neighbours in its seeded bucket, shuffled."""
+def distractors(df: DataFrame, key: str, text: str, seed: str, bucket: int = 4000, piece: int = 800, most: int = 6000) -> DataFrame:
+    """Adds ``context``: the row's own text among those of its next three neighbours in its seeded bucket, shuffled.
+
+    There are as many buckets as make about ``bucket`` rows each, so a task's window does not grow with the table.
+    """
+    buckets = max(1, -(-df.count() // bucket))
     h = seeded(F.col(key), seed)
     w = Window.partitionBy(X.hash_bucket(F.col(key).cast("string"), seed, buckets)).orderBy(h, key)
     own = F.struct(h.alias("h"), F.substring(text, 1, piece).alias("t"))

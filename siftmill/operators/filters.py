@@ -47,13 +47,21 @@ def qa_reject_reason(question: Column, answer: Column) -> Column:
     )
 
 
+def long_enough(column: str, least: int = 20) -> Column:
+    return X.word_count(F.col(column)) >= least
+
+
 def drop_short(df: DataFrame, column: str, exempt: Column, least: int = 20) -> DataFrame:
-    return df.where((X.word_count(F.col(column)) >= least) | exempt)
+    return df.where(long_enough(column, least) | exempt)
 
 
-def drop_low_letters(df: DataFrame, column: str, exempt: Column, share: float = 0.5, longer_than: int = 50) -> DataFrame:
+def enough_letters(column: str, share: float = 0.5, longer_than: int = 50) -> Column:
     n = F.length(column)
-    return df.where(~((F.length(X.letters_only(F.col(column))) < n * share) & (n > longer_than)) | exempt)
+    return ~((F.length(X.letters_only(F.col(column))) < n * share) & (n > longer_than))
+
+
+def drop_low_letters(df: DataFrame, column: str, exempt: Column, share: float = 0.5, longer_than: int = 50) -> DataFrame:
+    return df.where(enough_letters(column, share, longer_than) | exempt)
 
 
 def drop_blank(df: DataFrame, column: str) -> DataFrame:

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, same: Sequence[str], prefix: int = 200, within: float = 0.05, longer_than: int = 50) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, same: Sequence[str], prefix: int = 200, within: float = 0.05, longer_than: int = 50, length: Column | None = None) -> DataFrame:
     """Rows for which a row with a smaller key, equal ``same`` columns and prefix, and nearly equal length exists.
 
-    Only the first such partner matters, so the texts stay out of the join: it runs on a prefix hash and lengths.
-    Within a prefix group the smallest earlier length in reach decides, found by length bands, so a hot
-    prefix is not compared with itself row by row.
+    ``length`` is the text's, where ``text`` holds only its beginning. Only the first such partner matters, so the texts stay out of the join: it runs on a prefix hash and lengths.
+    Within a prefix group each distinct length meets those of its own and the neighbouring length bands (a band is
+    as wide as the reach), so a hot prefix is compared neither row by row nor over all its lengths.
     """
-    side = df.where(F.length(text) > 0).select(F.col(key).alias("k"), *[F.col(c).alias(f"s_{c}") for c in same], F.xxhash64(F.substring(text, 1, prefix)).alias("p"), F.md5(F.substring(text, 1, prefix)).alias("q"), F.length(text).alias("n"))
+    n = F.length(text) if length is None else length
+    side = df.where(n > 0).select(F.col(key).alias("k"), *[F.col(c).alias(f"s_{c}") for c in same], F.xxhash64(F.substring(text, 1, prefix)).alias("p"), F.md5(F.substring(text, 1, prefix)).alias("q"), n.alias("n"))
     on = ["p", "q", *[f"s_{c}" for c in same]]
     # the earliest row of each length in a group stands for all of that length
     lengths = side.groupBy(*on, "n").agg(F.min("k").alias("first"))
-    near = lengths.alias("a").join(lengths.alias("b"), on).where(f"a.n > {longer_than} and abs(a.n - b.n) < a.n * {within}").groupBy(*on, F.col("a.n").alias("n")).agg(F.min("b.first").alias("least"))
+    lengths = lengths.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1 / (1 - within)))))
+    reach = lengths.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    near = reach.alias("a").join(lengths.alias("b"), [*on, "band"]).where(f"a.n > {longer_than} and abs(a.n - b.n) < a.n * {within}").groupBy(*on, F.col("a.n").alias("n")).agg(F.min("b.first").alias("least"))
     return side.join(near, [*on, "n"]).where("least < k").select(F.col("k").alias(key))
 
 

@@ -220,7 +220,7 @@ def model_encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]],
 def vectorise(df: DataFrame, key: str, text: str, encoder: Callable[[Column], Column] | None = None, dims: int = 256) -> DataFrame:
     """(key, vector): unit vectors by the encoder, or hashed terms weighted by inverse document frequency; null for texts without words."""
     if encoder is not None:
-        return df.select(key, l2_normalise(encoder(F.col(text))).alias("vector"))
+        return df.select(key, encoder(F.col(text)).alias("raw")).select(key, l2_normalise(F.col("raw")).alias("vector"))
     from pyspark.ml.feature import IDF, HashingTF
     from pyspark.ml.functions import vector_to_array
 

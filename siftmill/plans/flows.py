@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking
+from ..operators import ranking as R
 from ..sources import readers, stages
 from ..streaming import jobs
 from .registry import Tables, query
@@ -21,7 +22,15 @@ def _(t: Tables) -> DataFrame:
     return chunking.chunked(t.documents, "doc_id", "text", chunking.sentence_chunks)
 
 
-@query("chunk_fixed")
+_CUT = """CASE WHEN {e} < n THEN coalesce({e} - least(nullif(strpos(reverse(text[{e} - 99:{e}]), '.'), 0), nullif(strpos(reverse(text[{e} - 99:{e}]), chr(10)), 0)) + 1, {e}) ELSE {e} END"""
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("chunk_fixed", f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND trim(text, {_WHITE}) <> ''),
+s AS (SELECT doc_id, text, n, 0::BIGINT AS start_at, {_CUT.format(e='1000')} AS stop FROM d WHERE n > 1000
+      UNION ALL SELECT doc_id, text, n, stop - 200, {_CUT.format(e='(stop + 800)')} FROM s WHERE stop - 200 < n),
+p AS (SELECT doc_id, start_at, trim(text[start_at + 1:stop], {_WHITE}) AS content FROM s)
+SELECT doc_id, 0 AS chunk, text AS content FROM d WHERE n <= 1000 UNION ALL SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_at) - 1)::INT, content FROM p WHERE length(content) > 50""")
 def _(t: Tables) -> DataFrame:
     return chunking.chunked(t.documents, "doc_id", "text", chunking.fixed_chunks)
 
@@ -41,11 +50,14 @@ def _(t: Tables) -> DataFrame:
     return d.select(F.col("item").cast("string").alias("item"), "text", F.length("text").alias("char_count"))
 
 
-@query("src_folder_routing")
+@query("src_folder_routing", "SELECT '.txt' AS suffix, true AS accepted, count(*) AS files FROM (SELECT DISTINCT lang, source FROM documents) UNION ALL SELECT '.json', true, count(DISTINCT doc_id % 7) FROM documents UNION ALL SELECT '.parquet', false, count(DISTINCT lang) FROM documents")
 def _(t: Tables) -> DataFrame:
+    """Documents as text, JSON and Parquet files in nested folders, a file for each key."""
     path = folder(t, "files")
-    t.benchmark.select("text").write.text(f"{path}/a")
-    t.benchmark.select("item_id", "text").write.json(f"{path}/b/c")
+    d = t.documents.select("doc_id", "text", "lang", "source")
+    d.select(F.regexp_replace("text", "\n", " ").alias("value"), "lang", "source").repartition("lang", "source").write.partitionBy("lang", "source").text(f"{path}/a")
+    d.withColumn("k", F.col("doc_id") % 7).select("k", "doc_id", "text").repartition("k").write.partitionBy("k").json(f"{path}/b/c")
+    d.repartition("lang").write.partitionBy("lang").option("compression", "none").parquet(f"{path}/b/d")
     return readers.folder_files(t.spark, path).groupBy("suffix", "accepted").agg(F.count("*").alias("files"))
 
 
@@ -89,49 +101,92 @@ def _(t: Tables) -> DataFrame:
     return a.join(b, ["conv_id", "turn", "text"], "left_semi").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("csv_records", "SELECT count(*) AS n, sum(p_partkey)::BIGINT AS keys, sum(length(concat_ws(' | ', 'p_partkey: ' || p_partkey, CASE WHEN trim(p_name) <> '' THEN 'p_name: ' || p_name END, 'p_size: ' || p_size)))::BIGINT AS chars FROM part")
+def _(t: Tables) -> DataFrame:
+    """Parts as CSV with a bad line for each, read back: lines that do not fit are dropped."""
+    path = folder(t, "csv")
+    good = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), F.regexp_replace(F.coalesce("p_name", F.lit("")), '"', '""'), F.lit('"')), F.col("p_size").cast("string"))
+    lines = t.part.select(F.explode(F.array(good, F.concat(F.lit("no number,"), F.col("p_partkey").cast("string"), F.lit(",x")))).alias("value"))
+    lines.write.text(path)
+    d = readers.csv_records(t.spark, path, "p_partkey long, p_name string, p_size int", header=False)
+    return d.agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"), F.sum(F.length("line")).alias("chars"))
+
+
 @query("ingest_pipeline")
 def _(t: Tables) -> DataFrame:
-    """Clean, chunk, tag, store, and report a row for each source."""
+    """Clean, chunk, tag, vectorise, store, and log a row for each source: chunks, vectors, status and error."""
     path = folder(t, "ingest")
     clean = t.documents.select("doc_id", X.clean_text(F.col("text")).alias("text"))
     pieces = chunking.chunked(clean, "doc_id", "text", chunking.sentence_chunks).join(t.documents.select("doc_id", "source"), "doc_id")
     rows = pieces.select(F.col("source").alias("title"), "content", F.lit("paper").alias("source_type"), X.script_language(F.col("content")).alias("language"), "doc_id", "chunk")
     readers.write_chunks(rows, f"{path}/good", f"{path}/rejects")
-    stored = t.spark.read.parquet(f"{path}/good").groupBy("title").agg(F.count("*").alias("chunk_count"))
-    files = t.documents.select(F.col("source").alias("title")).distinct()
-    return files.join(stored, "title", "left").select("title", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.when(F.col("chunk_count") > 0, "completed").otherwise("failed").alias("status"))
+    good = t.spark.read.parquet(f"{path}/good").withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk").cast("string")))
+    R.vectorise(good, "chunk_id", "content", dims=64).write.parquet(f"{path}/vectors")
+    vectors = t.spark.read.parquet(f"{path}/vectors").join(good.select("chunk_id", "title"), "chunk_id").where("vector is not null").groupBy("title").agg(F.count("*").alias("vector_count"))
+    stored, lost = good.groupBy("title").agg(F.count("*").alias("chunk_count")), t.spark.read.parquet(f"{path}/rejects").groupBy("title").agg(F.count("*").alias("rejected"))
+    log = t.documents.select(F.col("source").alias("title")).distinct().join(stored, "title", "left").join(vectors, "title", "left").join(lost, "title", "left").na.fill(0)
+    done = (F.col("chunk_count") > 0) & (F.col("chunk_count") == F.col("vector_count"))
+    error = F.when(F.col("chunk_count") == 0, "no chunks").when(~done, "chunks without vector")
+    return log.select("title", "chunk_count", "vector_count", "rejected", F.when(done, "completed").otherwise("failed").alias("status"), error.alias("error"))
 
 
-@query("reembed")
+@query("reembed", r"SELECT count(*) AS before, count(*) AS after, count(*) FILTER (WHERE text IS NULL OR regexp_full_match(text, '\s*')) AS errors, count(*) FILTER (WHERE text IS NOT NULL AND NOT regexp_full_match(text, '\s*')) AS unit FROM documents")
 def _(t: Tables) -> DataFrame:
-    """A new version of every vector, written beside the old one, with the counts of both."""
-    from ..operators.ranking import l2_normalise
-
+    """The corpus vectorised again with other settings, a new version beside the old, and the counts of both."""
     path = folder(t, "vectors")
-    t.embeddings.select("vec_id", l2_normalise(F.col("embedding"), 32).alias("vector")).write.parquet(f"{path}/version=2")
-    old, new = t.embeddings.agg(F.count("*").alias("before")), t.spark.read.parquet(f"{path}/version=2").agg(F.count("*").alias("after"), F.count_if(F.col("vector").isNull()).alias("errors"))
-    return old.join(F.broadcast(new))  # one row each
+    for version, dims in ((1, 32), (2, 48)):
+        R.vectorise(t.documents, "doc_id", "text", dims=dims).write.parquet(f"{path}/version={version}")
+    both = t.spark.read.parquet(path)
+    new = F.col("version") == 2
+    unit = F.abs(R.dot(F.col("vector"), F.col("vector")) - 1) < 1e-6
+    return both.agg(F.count_if(F.col("version") == 1).alias("before"), F.count_if(new).alias("after"), F.count_if(new & F.col("vector").isNull()).alias("errors"), F.count_if(new & unit).alias("unit"))
 
 
-@query("rate_admission")
+@query("rate_admission", """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, ts, k, true AS admitted, ts AS held FROM e WHERE k = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.ts, e.k, e.ts >= r.held + INTERVAL 6 HOURS, CASE WHEN e.ts >= r.held + INTERVAL 6 HOURS THEN e.ts ELSE r.held END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, ts, admitted FROM r""")
 def _(t: Tables) -> DataFrame:
-    return jobs.admission(t.events, seconds=6 * 3600, most=1)
+    return jobs.admission(t.events, seconds=6 * 3600, most=1).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("stream_latency", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, round(avg(value), 3) AS mean, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1")
+def streamed(t: Tables, name: str, job, mode: str = "append") -> DataFrame:
+    """The events as a stream of files through a job into a table; what the watermark has closed comes out."""
+    path = folder(t, name)
+    t.events.write.parquet(f"{path}/in")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{path}/in")
+    job(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out")
+
+
+@query("stream_latency", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i::INT) AS window_start, value, event_type FROM events, range(24) r(i))
+SELECT window_start, count(*) AS n, round(avg(value), 3) AS mean, round(quantile_disc(value, 0.5), 3) AS p50, round(quantile_disc(value, 0.95), 3) AS p95, count(*) FILTER (WHERE event_type = 'error') AS failures
+FROM w WHERE window_start + INTERVAL 24 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    d = jobs.windowed_latency(t.events, "1 day")
+    """24 hours sliding by one; a window comes out once the watermark has passed its end."""
+    d = streamed(t, "latency", lambda s: jobs.windowed_latency(s, "24 hours", "1 hour"))
     return d.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_dedup", "SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
 def _(t: Tables) -> DataFrame:
-    return jobs.deduplicated(t.events, F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))).agg(F.count("*").alias("n"))
+    return streamed(t, "dedup", lambda s: jobs.deduplicated(s, F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type")))).agg(F.count("*").alias("n"))
+
+
+@query("stream_fallback", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, user_id % 3 AS reason, count(*) AS n FROM events WHERE event_type = 'error' AND time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 1 HOUR GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    return streamed(t, "fallback", jobs.fallback_counts).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query("stream_fallback", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, user_id % 3 AS reason, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+@query("recency_index", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 500")
 def _(t: Tables) -> DataFrame:
-    return jobs.fallback_counts(t.events).withColumn("day", F.col("day").cast("timestamp_ntz"))
+    """The 500 newest events, kept batch by batch from a stream of files."""
+    path = folder(t, "recency")
+    rows = t.events.select("event_id", "ts")
+    rows.repartition(4, "event_id").write.parquet(f"{path}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    jobs.run_batches(stream, jobs.newest_into(f"{path}/index", [F.desc("ts"), F.col("event_id")], 500), f"{path}/checkpoint").awaitTermination()
+    return jobs.latest_version(t.spark, f"{path}/index").select("event_id", "ts")
 
 
 @query("stream_ingest", "SELECT count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import filters, joins
+from ..sources import stages
 from .registry import Tables, query
 
 VOCABULARY = ["the", "and", "of", "tion", "que"]
@@ -225,13 +226,15 @@ c AS (SELECT * FROM b WHERE doc_id IN (SELECT min(doc_id) FROM b GROUP BY md5(te
 SELECT 0 AS step, 'all' AS name, count(*) AS rows_left FROM documents UNION ALL SELECT 1, 'short', count(*) FROM a UNION ALL SELECT 2, 'letters', count(*) FROM b UNION ALL SELECT 3, 'exact', count(*) FROM c
 UNION ALL SELECT 4, 'near', count(*) FROM d UNION ALL SELECT 5, 'blank', count(*) FROM e""")
 def _(t: Tables) -> DataFrame:
-    a = filters.drop_short(t.documents, "text", exempt())
-    b = filters.drop_low_letters(a, "text", exempt())
-    c = joins.keep_first(b, [F.md5("text"), F.col("lang")], [F.col("doc_id")])
-    d = c.join(joins.near_duplicates(c, "doc_id", "text", ["lang"]), "doc_id", "left_anti")
-    e = filters.drop_blank(d, "text")
-    out = None
-    for k, (name, df) in enumerate((("all", t.documents), ("short", a), ("letters", b), ("exact", c), ("near", d), ("blank", e))):
-        n = df.agg(F.count("*").alias("rows_left")).select(F.lit(k).alias("step"), F.lit(name).alias("name"), "rows_left")
-        out = n if out is None else out.union(n)
-    return out
+    """Rows left after each step; two scans of the documents, as the first rules are counted together, and so are the last."""
+    a = filters.long_enough("text") | exempt()
+    b = a & (filters.enough_letters("text") | exempt())
+    first = t.documents.agg(F.count("*").alias("all"), F.count_if(a).alias("short"), F.count_if(b).alias("letters"))
+    c = joins.keep_first(t.documents.where(b), [F.md5("text"), F.col("lang")], [F.col("doc_id")])
+    c = stages.written(c.select("doc_id", "lang", F.length("text").alias("n"), F.substring("text", 1, 200).alias("start"), (F.trim("text") == "").alias("blank")), "cleanup")
+    near = joins.near_duplicates(c, "doc_id", "start", ["lang"], length=F.col("n")).withColumn("near", F.lit(True))
+    marked = c.join(near, "doc_id", "left").select(F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("blank", F.lit(True)).alias("blank"))
+    last = marked.agg(F.count("*").alias("exact"), F.count_if(~F.col("near")).alias("near"), F.count_if(~F.col("near") & ~F.col("blank")).alias("blank"))
+    steps = ("all", "short", "letters", "exact", "near", "blank")
+    one = first.join(F.broadcast(last))  # one row each
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(n).alias("name"), F.col(n).alias("rows_left")) for k, n in enumerate(steps)])))

@@ -90,7 +90,10 @@ def _(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.array_join(X.query_keywords(F.col("text")), " ").alias("keywords"))
 
 
-@query("smart_truncate")
+@query("smart_truncate", r"""WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents), e AS (SELECT *, length(parts[1]) + length(parts[-1]) + 2 AS ends FROM p),
+m AS (SELECT doc_id, i, part, ends + sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM (SELECT doc_id, ends, unnest(parts[2:-2]) AS part, generate_subscripts(parts[2:-2], 1) AS i FROM e WHERE len(parts) > 2)),
+k AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY i) AS middle FROM m WHERE used <= 1000 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text WHEN len(parts) <= 2 OR ends > 1000 THEN regexp_replace(text[1:1000], '\s+\S*\z', '') ELSE concat_ws(chr(10), parts[1], middle, parts[-1]) END AS text FROM e LEFT JOIN k USING (doc_id)""")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.middle_out(F.col("text"), 1000, "\n").alias("text"))
 
@@ -258,7 +261,7 @@ def _(t: Tables) -> DataFrame:
     return D.cap_groups(t.documents, "lang", "doc_id", "f", {"none": 0}, 50).select("doc_id", "lang")
 
 
-@query("distractor_context", """WITH d AS (SELECT doc_id, md5(doc_id || 'g') AS h, text[1:800] AS t, ('0x' || substr(md5(doc_id || 'g'), 1, 8))::BIGINT % 16 AS b FROM documents),
+@query("distractor_context", """WITH d AS (SELECT doc_id, md5(doc_id || 'g') AS h, text[1:800] AS t, ('0x' || substr(md5(doc_id || 'g'), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / 4000)::BIGINT) FROM documents) AS b FROM documents),
 n AS (SELECT doc_id, list_filter([{'h': h, 't': t}, lead({'h': h, 't': t}, 1) OVER w, lead({'h': h, 't': t}, 2) OVER w, lead({'h': h, 't': t}, 3) OVER w], lambda x: x IS NOT NULL) AS p FROM d WINDOW w AS (PARTITION BY b ORDER BY h, doc_id))
 SELECT doc_id, array_to_string(list_transform(list_sort(p), lambda x: x.t), chr(10) || '---' || chr(10))[1:6000] AS context FROM n""")
 def _(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Accepted kinds of files; fixed values.
 SUFFIXES = (".pdf", ".csv", ".npz", ".txt", ".docx", ".json")
 _QA_SHAPES = "question string, answer string, q string, a string, messages array<struct<role:string,content:string>>"
 _CONTENT_SHAPES = "question string, answer string, content string, text string, instruction string, input string, output string, title string, id string, source string, name string"
@@ -35,9 +36,9 @@ def row_text(columns: Sequence[str]) -> Column:
     return F.concat_ws(" | ", *[cell(c) for c in columns])
 
 
-def csv_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def csv_records(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """CSV rows as text; lines that do not fit the schema are dropped."""
-    rows = spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED")
+    rows = spark.read.csv(path, header=header, schema=schema, mode="DROPMALFORMED", escape='"')
     return rows.select("*", row_text(rows.columns).alias("line"))
 
 
