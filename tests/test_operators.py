@@ -151,12 +151,13 @@ def test_model_hooks_are_called_in_batches(spark):
 
 
 def test_hashed_vectors_against_brute_force(spark, sf):
+    import functools
     import math
 
     from pyspark.ml.feature import HashingTF
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, " ")], "doc_id long, text string"))
-    place = HashingTF(numFeatures=64).indexOf
+    docs = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").toDF("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, " ")], "doc_id long, text string"))
+    place = functools.cache(HashingTF(numFeatures=64).indexOf)
     bags = {r["doc_id"]: [place(w) for w in (r["text"] or "").lower().split()] for r in docs.collect()}
     df = [sum(i in set(b) for b in bags.values()) for i in range(64)]
     got = {r["doc_id"]: r["vector"] for r in ranking.vectorise(docs, "doc_id", "text", dims=64).collect()}
