@@ -59,5 +59,5 @@ def test_entry_survives_without_the_training_data_subpackage(tmp_path, sf):
     root = Path(__file__).parent.parent
     shutil.copytree(root / "siftmill", tmp_path / "siftmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
-    assert said.stdout.split()[2:] == ["False"], said.stderr
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op') or k == 'pipeline' for k in e.queries())); from pyspark.sql import SparkSession; print(e.queries()['count_by_lang'](SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(), '/root/testdata/sf0.001').count() > 0)"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.stdout.split()[2:] == ["False", "True"], said.stderr
