@@ -79,7 +79,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """Bytes, tokens and whether over ``limit``, for every row.
 
     Null and empty text: 0 bytes and 0 tokens. Repeated rows: one result each. Null doc_id is kept.
-    Special strings inside a text are ordinary text. Extra columns are ignored. Empty table: no rows.
+    Special strings inside a text are ordinary text. Extra columns are ignored. Empty table: no rows. Very long
+    texts are counted whole, one at a time.
     """
 
     def make():
