@@ -54,14 +54,18 @@ def script_language(text: Column, first: int = 50) -> Column:
     return F.when(F.substring(text, 1, first).rlike("[؀-ۿ]"), "fa").otherwise("en")
 
 
+#: Pattern and replacement, in order: page numbers, upper-case header lines, URLs, e-mail addresses, symbols, space before punctuation.
+CLEANING = (
+    (r" +", " "), (r"\n{3,}", "\n\n"), (r"\n\d+\n", "\n"), (r"\n- \d+ -\n", "\n"), (r"\n[A-Z\s]{10,}\n", "\n"), (r"https?://[!$-_a-z]+", ""), (r"\S+@\S+", ""),
+    (r"[^\p{L}\p{N}_\s\p{Z}.,;:!?()\[\]{}'\"°%$€£¥/\\-]", " "), (r"[\s\p{Z}]+([.,;:!?])", "$1"), (r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""),
+)
+
+
 def clean_text(text: Column) -> Column:
-    """Drops page-number and upper-case header lines, URLs, e-mail addresses and stray symbols; tidies spaces."""
-    for pattern, to in (
-        (r"(?m)^[ \t]*(Page[ \t]+)?\d+[ \t]*$", ""), (r"(?m)^[A-Z][A-Z ]{9,}$", ""), (r"https?://\S+", ""), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", ""),
-        (r"[^\p{L}\p{N}\s.,;:!?()\[\]{}%°/+=<>'\"-]", ""), (r"[ \t]+", " "), (r" +([.,;:!?])", "$1"), (r"\n{3,}", "\n\n"),
-    ):
+    """Drops page numbers between lines, upper-case header lines, URLs and e-mail addresses; stray symbols become spaces."""
+    for pattern, to in CLEANING:
         text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+    return text
 
 
 def clean_page_lines(text: Column) -> Column:

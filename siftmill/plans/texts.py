@@ -13,9 +13,9 @@ _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 CATEGORIES = {"law": ["license", "copyright"], "code": ["token", "api"], "english": [" the ", " and "], "french": [" que ", " les "], "german": [" und ", " der "]}
 
 
-@query("clean_text", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '(?m)^[ \t]*(Page[ \t]+)?\d+[ \t]*$', '', 'g'), '(?m)^[A-Z][A-Z ]{9,}$', '', 'g'), 'https?://\S+', '', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '', 'g'),
- '[^\p{L}\p{N}\s.,;:!?()\[\]{}%°/+=<>''"-]', '', 'g'), '[ \t]+', ' ', 'g'), ' +([.,;:!?])', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents""")
+@query("clean_text", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\n\d+\n', chr(10), 'g'), '\n- \d+ -\n', chr(10), 'g'), '\n[A-Z\s]{10,}\n', chr(10), 'g'), 'https?://[!$-_a-z]+', '', 'g'), '\S+@\S+', '', 'g'),
+ '[^\p{L}\p{N}_\s\p{Z}.,;:!?()\[\]{}''"°%$€£¥/\\-]', ' ', 'g'), '[\s\p{Z}]+([.,;:!?])', '\1', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM documents""")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
