@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB text of the unsigned crc32 of a text's UTF-8 bytes, half a byte at a time; the sixteen steps follow from the polynomial."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    step = f"xor(c >> 4, list_extract({table}::BIGINT[], (xor(c & 15, d) + 1)::BIGINT))"
+    halves = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: [strpos('0123456789ABCDEF', x[2]) - 1, strpos('0123456789ABCDEF', x[1]) - 1])"
+    return f"xor(list_reduce(flatten({halves})::BIGINT[], lambda c, d: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """While it lasts, texts go to Python workers in Arrow batches of at most about ``BATCH_BYTES``."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard, licenses, packing, passages, quality, token_counts, token_files, warc
+from . import chat, decontamination, jaccard, licenses, merkle, packing, passages, quality, sharding, spelling, token_counts, token_files, warc
 from .common import written
 
 
@@ -63,5 +63,23 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op8_substring_dedup, op9_license_scans, op10_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.dataset_manifest(_documents(spark, sf_dir))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(_documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_derivatives, op2_token_files, op3_ngram_jaccard_join, op4_token_counts, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op8_substring_dedup,
+        op9_license_scans, op10_benchmark_decontamination, op11_merkle_manifest, op12_sharding, op13_spelling_variants,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.SQL, "op11_merkle_manifest": merkle.SQL, "op12_sharding": sharding.SQL, "op13_spelling_variants": spelling.SQL}
