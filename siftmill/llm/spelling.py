@@ -7,7 +7,9 @@ pivot of one is a bigram of the other's prefix.
 
 There are only some thousand bigrams, so a bigram alone would bring a share of all words together. The key of the meeting also holds half of the
 word: an edit falls into one half of the longer word, and the other half is equal. With ``m`` the longer word's length, that is the first
-``m // 2`` or the last ``m - m // 2`` code points; a word is entered for ``m`` its own length and one more. No pair is lost by that.
+``m // 2`` or the last ``m - m // 2`` code points. A word is entered for the words of its length, for those one longer and one shorter. A pivot that
+lies in the equal half is whole, so it alone is entered there. The half that has the edit is halved again, and one of these quarters must be equal too: their
+hashes are compared where a pair is met. No pair is lost by any of this, and what is met is verified by edit distance.
 """
 
 from __future__ import annotations
@@ -96,37 +98,46 @@ def pivots(order: np.ndarray, prefix: np.ndarray, n: int = 2, width: int = 2) ->
     return list(best[-1][n][1])
 
 
-def signatures(word: bytes, rank: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """(key, place, is a pivot) of a word's pivots and prefix; ``rank`` orders the bigrams, rarest first."""
+def _halves(word: bytes, m: int) -> Iterator[tuple[int, int, range]]:
+    """For the first and for the last half that a word shares with one where the longer has ``m`` code points: a hash of it, the hashes of the quarters of the rest, and the places of bigrams within it."""
+    n, head = len(word), m // 2
+    tail = m - head
+    for seed, half, rest, own, whole in ((m, word[:head], word[head:], tail, range(head - 1)), (-m, word[n - tail :], word[: n - tail], head, range(n - tail, n))):
+        k = own // 2
+        quarters = (xxhash.xxh3_64_intdigest(rest[:k]) & 0xFFFFF) << 20 | xxhash.xxh3_64_intdigest(rest[len(rest) - (own - k) :]) & 0xFFFFF
+        yield xxhash.xxh3_64_intdigest(half, seed & _ALL), quarters, whole
+
+
+_ALL, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15
+#: To whom a row speaks: words of the same length, a longer word's pivots to shorter words, a shorter word's pivots to longer words.
+_SAME, _LONGER, _SHORTER = range(3)
+
+
+def signatures(word: bytes, rank: np.ndarray, pivot: bool) -> set[tuple[int, int]]:
+    """(key, mark) of a word's pivots, or of its prefix; ``rank`` orders the bigrams, rarest first. A mark is, from the low end: place mod 256, rank of
+    the prefix's last bigram (14 bits), hashes of the two quarters (20 bits each)."""
     grams = _gram_codes(word)
     order = rank[grams]
     first = np.argsort(order, kind="stable")[:3]
-    prefix = np.flatnonzero((order < order[first[-1]]) | (grams == grams[first[-1]]))
-    entries = [(p, False) for p in prefix.tolist()] + [(p, True) for p in pivots(order, np.sort(first))]
-    for m in (len(word), len(word) + 1):
-        head = m // 2
-        for side, half in ((b"h", word[:head]), (b"t", word[len(word) - (m - head) :])):
-            base = xxhash.xxh3_64_intdigest(half, m)
-            for at, pivot in entries:
-                key = xxhash.xxh3_64_intdigest(side + int(grams[at]).to_bytes(2, "big"), base)
-                yield key - (1 << 63), at, pivot
-
-
-def _entered(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        keys, ids, places, kinds = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(kinds, pa.bool_())], names=["key", "id", "at", "pivot"])
-
-    rows: list[tuple[int, int, int, bool]] = []
+    last = int(order[first[-1]])
+    places = pivots(order, np.sort(first)) if pivot else np.flatnonzero((order < last) | (grams == grams[first[-1]])).tolist()
+    n, out = len(word), set()
+    for m, tags in ((n, (_SAME, _LONGER if pivot else _SHORTER)), (n + 1, (_SHORTER if pivot else _LONGER,))):
+        for base, quarters, whole in _halves(word, m):
+            safe = [p for p in places if p in whole][:1] if pivot else []
+            for at in safe or places:
+                mark = quarters << 22 | last << 8 | at & 255
+                for tag in tags:
+                    out.add(((base ^ ((int(grams[at]) << 2 | tag) * _MIX & _ALL)) - (1 << 63), mark))
+    return out
+
+
+def _entered(batches: Iterator[pa.RecordBatch], rank: np.ndarray, pivot: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for of, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for key, at, pivot in signatures(word.encode("latin-1"), rank):
-                rows.append((key, of, at, pivot))
-                if len(rows) >= 50_000:
-                    yield out()
-                    rows = []
-    if rows:
-        yield out()
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            rows = [(key, of, mark) for of, word in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for key, mark in signatures(word.encode("latin-1"), rank, pivot)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "id", "mark"])
 
 
 def gram_ranks(words: DataFrame) -> np.ndarray:
@@ -141,10 +152,14 @@ def gram_ranks(words: DataFrame) -> np.ndarray:
 def near_words(words: DataFrame) -> DataFrame:
     """(a, b), a < b, of the ids of all words that differ by exactly one inserted, deleted or replaced code point; ``words``: id, word, written."""
     rank = gram_ranks(words)
-    entered = written(words.select("id", "word").mapInArrow(lean(functools.partial(_entered, rank=rank)), "key long, id long, at int, pivot boolean"), "grams")
-    index = entered.where("pivot").select("key", F.col("id").alias("a"), F.col("at").alias("at_a"))
-    others = entered.where("not pivot").select("key", F.col("id").alias("b"), F.col("at").alias("at_b"))
-    met = index.join(others, "key").where((F.col("a") != F.col("b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= 1))
+    entered = lambda pivot: words.select("id", "word").mapInArrow(lean(functools.partial(_entered, rank=rank, pivot=pivot)), "key long, id long, mark long")
+    index = entered(True).select("key", F.col("id").alias("a"), F.col("mark").alias("x"))
+    others = entered(False).select("key", F.col("id").alias("b"), F.col("mark").alias("y"))
+    bits = lambda c, low, n: F.shiftright(c, low).bitwiseAND(F.lit((1 << n) - 1))
+    x, y = F.col("x"), F.col("y")
+    moved = F.pmod(bits(x, 0, 8) - bits(y, 0, 8) + 1, F.lit(256)) <= 2
+    quarter = (bits(x, 22, 20) == bits(y, 22, 20)) | (bits(x, 42, 20) == bits(y, 42, 20))
+    met = index.join(others, "key").where((F.col("a") != F.col("b")) & moved & (bits(x, 8, 14) <= bits(y, 8, 14)) & quarter)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     named = lambda side: words.select(F.col("id").alias(side), F.col("word").alias(f"word_{side}"))
     return pairs.join(named("a"), "a").join(named("b"), "b").where(F.levenshtein("word_a", "word_b", 1) == 1).select("a", "b")
