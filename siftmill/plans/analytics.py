@@ -318,10 +318,31 @@ def _(t: Tables) -> DataFrame:
     return d.groupBy("label").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"))
 
 
-@query("json_flatten", "SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE trim(json_extract_string(props, '$.' || k)) <> ''")
+def order_json(t: Tables) -> DataFrame:
+    """Each order as nested JSON with a list of its lines; names not in alphabetical order, a blank and a null among the leaves."""
+    line = F.struct(F.col("l_linenumber").alias("no"), F.struct(F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("cost tax")).alias("amount"), F.array("l_returnflag", "l_linestatus").alias("flags"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    doc = F.struct(F.col("o_orderkey").alias("order"), F.struct("o_orderstatus", F.lit(" ").alias("note")).alias("meta"), "lines", (F.col("o_totalprice") > 100000).alias("large"), F.lit(None).cast("string").alias("gone"))
+    return t.orders.join(lines, "o_orderkey").select("o_orderkey", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"), F.lit("orders").alias("title"))
+
+
+@query("json_flatten", """WITH RECURSIVE l AS (SELECT l_orderkey AS k, to_json(list(json_object('no', l_linenumber, 'amount', json_object('quantity', l_quantity, 'cost tax', l_tax), 'flags', json_array(l_returnflag, l_linestatus)) ORDER BY l_linenumber, l_quantity, l_tax, l_returnflag, l_linestatus)) AS lines FROM lineitem GROUP BY 1),
+w AS (SELECT k, []::INT[] AS place, '' AS path, json_object('order', k, 'meta', json_object('o_orderstatus', o_orderstatus, 'note', ' '), 'lines', lines, 'large', o_totalprice > 100000, 'gone', NULL)::JSON AS j FROM orders JOIN l ON k = o_orderkey
+  UNION ALL SELECT k, list_append(place, i::INT), path || CASE WHEN json_type(j) = 'ARRAY' THEN '[' || i || ']' ELSE json_keys(j)[i + 1] END, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, i) ELSE json_extract(j, '$."' || json_keys(j)[i + 1] || '"') END
+  FROM (SELECT *, unnest(range(CASE json_type(j) WHEN 'ARRAY' THEN least(500, json_array_length(j)) WHEN 'OBJECT' THEN len(json_keys(j)) ELSE 0 END::BIGINT)) AS i FROM w)),
+v AS (SELECT k, place, path || ': ' || CASE json_type(j) WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE j::VARCHAR WHEN 'true' THEN 'True' ELSE 'False' END ELSE json_extract_string(j, '$') END AS line FROM w WHERE json_type(j) NOT IN ('ARRAY', 'OBJECT') AND coalesce(trim(json_extract_string(j, '$')), 'null') <> '')
+SELECT k AS o_orderkey, 'JSON Dataset: orders' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place) AS text, length('JSON Dataset: orders' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS char_count FROM v GROUP BY k""")
 def _(t: Tables) -> DataFrame:
-    d = t.events.select("event_id", F.explode(F.from_json("props", "map<string,string>")))
-    return d.where(F.trim("value") != "")
+    from ..sources.json_walk import json_texts
+
+    return json_texts(order_json(t), "o_orderkey", "doc", "title").withColumnRenamed("key", "o_orderkey")
+
+
+@query("json_leaf_values", "SELECT event_id, k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE trim(json_extract_string(props, '$.' || k)) <> ''")
+def _(t: Tables) -> DataFrame:
+    from ..sources.json_walk import json_leaves
+
+    return json_leaves(t.events, "event_id", "props").select(F.col("key").alias("event_id"), "path", "value")
 
 
 @query("doc_assemble", r"""WITH p AS (SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\d+$') AND NOT regexp_matches(lower(x), '^(page|p\.)\s*\d+')), chr(10)) AS page FROM conversations)
