@@ -150,6 +150,30 @@ def _(t: Tables) -> DataFrame:
     return jobs.admission(t.events, seconds=6 * 3600, most=1).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def requests(t: Tables) -> DataFrame:
+    """The events as requests of 50 clients within minutes: their times are pressed together 8,640 times."""
+    start = t.events.agg(F.min("ts").alias("start"))  # one row
+    micros = F.unix_micros(F.col("start").cast("timestamp")) + F.expr("(unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(CAST(start AS TIMESTAMP))) DIV 8640")
+    return t.events.join(F.broadcast(start)).select((F.col("user_id") % 50).alias("user_id"), "event_id", F.timestamp_micros(micros).alias("ts"))
+
+
+@query("rate_admission_stream", """WITH RECURSIVE q AS (SELECT user_id % 50 AS user_id, event_id, epoch_us((SELECT min(ts) FROM events)) + (epoch_us(ts) - epoch_us((SELECT min(ts) FROM events))) // 8640 AS at_us FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS k FROM q),
+r AS (SELECT user_id, event_id, at_us, k, true AS admitted, [at_us] AS held FROM e WHERE k = 1
+      UNION ALL SELECT user_id, event_id, at_us, k, len(live) < 30, CASE WHEN len(live) < 30 THEN list_append(live, at_us) ELSE live END
+      FROM (SELECT e.*, list_filter(r.held, lambda h: h > e.at_us - 60000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, event_id, make_timestamp(at_us) AS ts, admitted FROM r""")
+def _(t: Tables) -> DataFrame:
+    """At most 30 requests of a client in 60 seconds: a stream that is started again for each quarter of the time, its state kept between."""
+    path, rows, at = folder(t, "admission"), requests(t), F.unix_micros("ts")
+    cuts = rows.agg(F.percentile_approx(at, [0.25, 0.5, 0.75]).alias("p")).head()["p"] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        rows.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)).write.mode("append").parquet(f"{path}/in")
+        found = jobs.admission(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        found.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def streamed(t: Tables, name: str, job, mode: str = "append") -> DataFrame:
     """The events as a stream of files through a job into a table; what the watermark has closed comes out."""
     path = folder(t, name)

@@ -8,8 +8,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ADMITTED = "user_id long, event_id long, ts timestamp, admitted boolean"
 
 
@@ -28,19 +29,49 @@ def _micros(ts: pd.Series) -> list[int]:
     return ts.astype("datetime64[us]").astype("int64").tolist()
 
 
-def admission(events: DataFrame, seconds: int = 60, most: int = 30) -> DataFrame:
-    """Sliding admission of each user's requests: in a stream with state, else in one pass; the state is at most ``most`` stamps."""
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    if rows.isStreaming:
+class Admission(StatefulProcessor):
+    """Holds a user's admitted stamps of the last ``seconds``. A timer at the end of the latest stamp's time drops what is over, so that idle users leave the store."""
+
+    def __init__(self, seconds: int, most: int):
+        self.seconds, self.most = seconds, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("held", "at long")
+
+    def _keep(self, stamps: list[int]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if stamps:
+            self.held.put([(at,) for at in stamps])
+            self.handle.registerTimer(max(stamps) // 1000 + self.seconds * 1000 + 1)
+        else:
+            self.held.clear()
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = [at for (at,) in self.held.get()]
+        new = pd.concat(rows).sort_values(["ts", "event_id"])  # one user's rows of one micro-batch
+        verdict, held = admit(_micros(new["ts"]), held, self.seconds, self.most)
+        self._keep(held)
+        yield new.assign(admitted=verdict)[["user_id", "event_id", "ts", "admitted"]]
 
-        def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            held = list(state.get[0]) if state.exists else []
-            new = pd.concat(batches).sort_values(["ts", "event_id"])
-            verdict, held = admit(_micros(new["ts"]), held, seconds, most)
-            state.update((held,))
-            yield new.assign(admitted=verdict)[["user_id", "event_id", "ts", "admitted"]]
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        over = (timerValues.getCurrentWatermarkInMs() - self.seconds * 1000) * 1000
+        self._keep([at for (at,) in self.held.get() if at > over])
+        return iter(())
 
-        return rows.groupBy("user_id").applyInPandasWithState(update, ADMITTED, "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def admission(events: DataFrame, seconds: int = 60, most: int = 30, late: str = "10 seconds") -> DataFrame:
+    """Sliding admission of each user's requests: in a stream with state, else in one pass; the state is at most ``most`` stamps.
+
+    A stream judges rows in the order of its micro-batches, within one by time; a user's state goes once the watermark (``late``) has passed its last stamp's time.
+    """
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    if rows.isStreaming:
+        rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        return rows.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(Admission(seconds, most), ADMITTED, "append", "EventTime")
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, held = None, []  # rows come sorted, so the state of one user at a time is enough
