@@ -111,15 +111,15 @@ def _bm25(spark, corpus: DataFrame, asked: DataFrame, n: int, k1: float, b: floa
                     part = batch.slice(at, 500)
                     dl, codes = part.column(1).to_numpy(), number[part.column(2).flatten().to_numpy()]
                     size = pc.list_value_length(part.column(2)).to_numpy()
-                    doc, tf = np.repeat(np.arange(len(size)), size)[codes >= 0], part.column(3).flatten().to_numpy()[codes >= 0].astype(np.float64)
-                    part_of = np.unique(doc)
+                    used = codes >= 0
+                    codes, doc, tf = codes[used], np.repeat(np.arange(len(size)), size)[used], part.column(3).flatten().to_numpy()[used].astype(np.float64)
+                    part_of, starts = np.unique(doc, return_index=True)
                     if not len(part_of):
                         continue
                     tf *= (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / mean))
                     s = np.zeros((len(part_of), len(ids)))
-                    for k, d in enumerate(part_of):  # one product a document: its terms against the block
-                        lo, hi = np.searchsorted(doc, [d, d + 1])
-                        s[k] = tf[lo:hi] @ weights[codes[codes >= 0][lo:hi]]
+                    for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(doc)])):  # one product a document: its terms against the block
+                        s[k] = tf[lo:hi] @ weights[codes[lo:hi]]
                     yield pa.RecordBatch.from_pandas(_best(ids, part.column(0).to_numpy()[part_of], np.where(s > 0, np.maximum(np.round(s, 6), 1e-300), 0), n, positive=True), preserve_index=False)
 
         out.append(counted.mapInArrow(score, "query_id long, id long, score double").withColumn("score", F.round("score", 6)))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import filters
+from ..operators import sketches as S
+from ..sources.stages import written
 from .hygiene import W, _QA, qa_pairs
 from .registry import Tables, query
 
@@ -54,6 +56,20 @@ def _(t: Tables) -> DataFrame:
     return since(t.events, "ts", "24 HOURS").agg(F.count("*").alias("n"), F.round(F.avg("value"), 0).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
+@query("latency_24h_parts", """SELECT count(*) AS n, round(avg(value), 0) AS mean, round(quantile_disc(value, 0.5), 0) AS p50, round(quantile_disc(value, 0.95), 0) AS p95, count(*) FILTER (WHERE event_type = 'error') AS failures
+FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS""")
+def _(t: Tables) -> DataFrame:
+    """The same report from stored hours; of the events only the first hour's remainder is read again."""
+    return S.report(S.last_hours(written(S.latency_parts(t.events), "hours"), t.events), digits=0)
+
+
+@query("active_users_parts", """SELECT unnest([7, 30]) AS days, unnest([count(DISTINCT user_id) FILTER (WHERE d < 7), count(DISTINCT user_id) FILTER (WHERE d < 30)]) AS users, unnest([count(*) FILTER (WHERE d < 7), count(*) FILTER (WHERE d < 30)]) AS events
+FROM (SELECT user_id, date_diff('day', ts::DATE, (SELECT max(ts)::DATE FROM events)) AS d FROM events)""")
+def _(t: Tables) -> DataFrame:
+    """Active users of 7 and 30 days from one stored sketch a day."""
+    return S.active_users(written(S.user_parts(t.events), "days"))
+
+
 @query("fallback_rate", "SELECT count(*) FILTER (WHERE event_type = 'error') AS fallbacks, round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / greatest(count(*), 1), 1)::DOUBLE AS rate FROM events")
 def _(t: Tables) -> DataFrame:
     n = F.count_if(F.col("event_type") == "error")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import lexical_index as L
 from ..operators import ranking as R
+from ..sources import stages
 from .registry import Tables, query
 
 _TOK = r"list_filter(regexp_split_to_array(lower({t}), '\s+'), lambda x: x <> '')"
@@ -40,6 +42,14 @@ def _(t: Tables) -> DataFrame:
     return R.bm25(corpus(t), asked(t), 5).select("query_id", "id", "score", "rank")
 
 
+@query("bm25_index", f"WITH {_bm25_sql(5)} SELECT query_id, id, score, rank FROM bm")
+def _(t: Tables) -> DataFrame:
+    """The same ranking from a stored inverted index."""
+    path = stages.folder(t.spark, "index")
+    L.build_index(corpus(t), path)
+    return L.Index(t.spark, path).search(asked(t), 5)
+
+
 _KNN = "k AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)"
 
 
