@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,14 +79,21 @@ def text_quality(text: Column, terms: Sequence[str]) -> Column:
     return F.round(one((n > 100) & (n < 100_000), 0.3) + one((mean > 3) & (mean < 10), 0.2) + one(n_sentences > 5, 0.2) + one(X.contains_any(text, terms), 0.3), 1)
 
 
+#: Marks of echoed context and openings of answers that only describe the text; fixed values.
+ECHOES, COMMENTS = ("[source n]", "source_type"), ("the text is written", "the text is a reference", "this text describes", "this response is referenced")
+
+
 def degenerate(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Adds ``degenerate``: under 5 words; over 20 words with a 3-gram five times; or under 50 characters without . : or ،"""
-    text, words = F.col(column), X.tokens(F.lower(F.col(column)))
+    """Adds ``degenerate``: under 5 words or null; over 20 words with a 3-gram five times; an echo mark twice; under 30 words that comment on the text;
+    or under 50 characters without . : or ،"""
+    text, words, low = F.col(column), X.tokens(F.col(column)), F.lower(F.col(column))
     grams = df.select(*keys, words.alias("w")).where(F.size("w") > 20)
     grams = grams.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))).alias("gram"))
     looping = grams.groupBy(*keys, "gram").count().where("count >= 5").select(*keys).distinct().withColumn("looping", F.lit(True))
-    short = (F.size(words) < 5) | ((F.length(text) < 50) & ~text.rlike("[.:،]"))
-    return df.join(looping, list(keys), "left").withColumn("degenerate", short | F.coalesce("looping", F.lit(False))).drop("looping")
+    short = text.isNull() | (F.size(words) < 5) | ((F.length(text) < 50) & ~text.rlike("[.:،]"))
+    echo = reduce(or_, [F.size(F.split(low, f"\\Q{m}\\E")) > 2 for m in ECHOES])
+    comment = (F.size(words) < 30) & reduce(or_, [low.contains(c) for c in COMMENTS])
+    return df.join(looping, list(keys), "left").withColumn("degenerate", short | F.coalesce("looping", F.lit(False)) | echo | comment).drop("looping")
 
 
 def mostly_ascii(text: Column, share: float = 0.6, least: int = 5) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.history import compressed
 from ..operators import filters
 from ..operators import sketches as S
 from ..sources.stages import written
+from .history import CLEANED, DRESSED, dressed
 from .hygiene import W, _QA, qa_pairs
 from .registry import Tables, query
 
@@ -270,13 +272,12 @@ def _(t: Tables) -> DataFrame:
     return _ranked(t.events, ["user_id"], [F.desc("ts"), "event_id"], 10).select("user_id", "event_id", F.col("_r").alias("rank"))
 
 
-@query("history_tiers", """WITH h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
-SELECT conv_id, turn, CASE WHEN r <= 2 THEN text WHEN r <= 5 THEN CASE WHEN role = 'assistant' AND length(text) > 400 THEN regexp_extract(text[1:400], '(?s)^(.*[.!?])', 1) ELSE text END ELSE text[1:250] END AS content FROM h WHERE r <= 5 OR role = 'user'""")
+@query("history_tiers", f"""WITH h AS (SELECT conv_id, turn, role, {CLEANED} AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM ({DRESSED}))
+SELECT conv_id, turn, CASE WHEN r <= 2 THEN text WHEN r <= 5 THEN CASE WHEN role = 'assistant' AND length(text) > 400 THEN CASE WHEN contains(text[1:400], '. ') THEN regexp_extract(text[1:400], '(?s)^(.*)\\. ', 1) ELSE text[1:400] END || '. [...]' ELSE text END ELSE text[1:250] END AS content
+FROM h WHERE r <= 5 OR role = 'user'""")
 def _(t: Tables) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    d = t.conversations.withColumn("r", r).where("r <= 5 or role = 'user'")
-    cut = F.when((F.col("role") == "assistant") & (F.length("text") > 400), F.regexp_extract(F.substring("text", 1, 400), r"(?s)^(.*[.!?])", 1)).otherwise(F.col("text"))
-    return d.select("conv_id", "turn", F.when(F.col("r") <= 2, F.col("text")).when(F.col("r") <= 5, cut).otherwise(F.substring("text", 1, 250)).alias("content"))
+    """Sessions have at most eight turns, so two stay whole and three are shortened."""
+    return compressed(dressed(t), "conv_id", "turn", full=2, middle=3).select("conv_id", "turn", "content")
 
 
 @query("block_rows", """SELECT p_partkey // 10 AS block, min(p_partkey) AS first_row, max(p_partkey) AS last_row, string_agg(p_name || ' | ' || p_brand, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY 1 HAVING length(string_agg(p_name || ' | ' || p_brand, chr(10) ORDER BY p_partkey)) >= 50""")

@@ -81,12 +81,16 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", filters.text_quality(F.col("text"), ["shred", "tion"]).alias("quality"))
 
 
-@query("flag_degenerate", r"""WITH a AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'assistant'),
+@query("flag_degenerate", r"""WITH t AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN text || ' [Source N] and [source n]' WHEN 1 THEN 'This text describes ' || text[1:80] ELSE text END AS text FROM conversations WHERE role = 'assistant'),
+a AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM t),
 g AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM a WHERE len(w) > 20),
 l AS (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, gram FROM g GROUP BY ALL HAVING count(*) >= 5))
-SELECT a.conv_id, a.turn, len(w) < 5 OR (length(text) < 50 AND NOT regexp_matches(text, '[.:،]')) OR l.conv_id IS NOT NULL AS degenerate FROM a LEFT JOIN l USING (conv_id, turn)""")
+SELECT a.conv_id, a.turn, len(w) < 5 OR (length(text) < 50 AND NOT regexp_matches(text, '[.:،]')) OR l.conv_id IS NOT NULL OR len(string_split(lower(text), '[source n]')) > 2 OR len(string_split(lower(text), 'source_type')) > 2
+  OR (len(w) < 30 AND regexp_matches(lower(text), 'the text is written|the text is a reference|this text describes|this response is referenced')) AS degenerate FROM a LEFT JOIN l USING (conv_id, turn)""")
 def _(t: Tables) -> DataFrame:
-    return filters.degenerate(t.conversations.where("role = 'assistant'"), ["conv_id", "turn"], "text").select("conv_id", "turn", "degenerate")
+    """Answers, some of them with echo marks or put as a comment."""
+    said = F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit(" [Source N] and [source n]"))).when(F.col("conv_id") % 5 == 1, F.concat(F.lit("This text describes "), F.substring("text", 1, 80))).otherwise(F.col("text"))
+    return filters.degenerate(t.conversations.where("role = 'assistant'").withColumn("text", said), ["conv_id", "turn"], "text").select("conv_id", "turn", "degenerate")
 
 
 @query("flag_ascii_answer", r"""WITH a AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 2 AND NOT regexp_matches(x, '^[0-9.,%-]+$') AND NOT regexp_matches(x, '^[A-Z][a-z]?[0-9]')) AS w FROM conversations)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.history import clean_history
 from ..operators import dataset as D
+from .history import CLEANED, DRESSED, dressed
 from .registry import Tables, query
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -112,10 +114,9 @@ def _(t: Tables) -> DataFrame:
     return d.select("doc_id", F.array_join(out, " ").alias("text"))
 
 
-@query("history_clean", "SELECT conv_id, turn, trim(string_split('Context: x QUESTION: ' || text, 'QUESTION:')[-1]) AS text FROM conversations WHERE NOT contains(text, 'QUESTION:')")
+@query("history_clean", f"SELECT conv_id, turn, {CLEANED} AS text FROM ({DRESSED})")
 def _(t: Tables) -> DataFrame:
-    d = t.conversations.where(~F.col("text").contains("QUESTION:"))
-    return d.select("conv_id", "turn", F.trim(F.element_at(F.split(F.concat(F.lit("Context: x QUESTION: "), "text"), "QUESTION:"), -1)).alias("text"))
+    return dressed(t).select("conv_id", "turn", clean_history(F.col("text")).alias("text"))
 
 
 @query("search_snippet", """WITH h AS (SELECT conv_id, turn, text, instr(lower(text), 'tion') AS p FROM conversations WHERE text ILIKE '%tion%'), g AS (SELECT *, greatest(p - 60, 1) AS s FROM h)
