@@ -53,15 +53,24 @@ def exact_holdout(df: DataFrame, key: str, seed: str, share: float, least: int)
     n = df.count()
     size = min(n, max(int(n * share), least))
     d = df.withColumn("_h", seeded(F.col(key), seed))
-    d = numbered(d, F.substring("_h", 1, 3), ["_h", key])  # 4,096 even buckets
+    digits = min(5, max(3, len(f"{n // 4000:x}")))  # even buckets, of about 4,000 rows up to a million buckets
+    d = numbered(d, F.substring("_h", 1, digits), ["_h", key])
     return d.withColumn("split", F.when(F.col("line_no") < size, "val").otherwise("train")).drop("_h", "line_no")
 
 
 def cap_groups(df: DataFrame, by: str, key: str, seed: str, caps: dict[str, int], default: int) -> DataFrame:
-    """At most the capped number of rows of each group, chosen in seeded order."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(seeded(F.col(key), seed), key))
+    """At most the capped number of rows of each group, chosen in seeded order.
+
+    A group is counted by the first four digits of its rows' hashes. Rows of digits that fit whole are kept as they are, those beyond are dropped, and only where
+    the cap falls within one of the 65,536 is a sort needed: no task sorts a group. A null group is one too.
+    """
     cap = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))]), F.col(by)), F.lit(default))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
+    d = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_digits", F.substring("_h", 1, 4))
+    sizes = d.groupBy(F.col(by).alias("_by"), F.col("_digits").alias("_own")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(sizes.withColumn("_before", before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_digits") == F.col("_own"))).where(F.col("_before") < cap)
+    rank = F.row_number().over(Window.partitionBy(by, "_digits").orderBy("_h", key))
+    return d.withColumn("_rank", rank + F.col("_before")).where(F.col("_rank") <= cap).select(df.columns)
 
 
 def distractors(df: DataFrame, key: str, text: str, seed: str, bucket: int = 4000, piece: int = 800, most: int = 6000) -> DataFrame:

@@ -241,11 +241,11 @@ def _(t: Tables) -> DataFrame:
     return keep_first(t.conversations.where("role = 'user'"), [F.md5(X.norm_question(F.col("text")))], [F.col("conv_id"), F.col("turn")]).select("conv_id", "turn")
 
 
-@query("dup_report", f"""SELECT conv_id, turn, first_conv, first_turn FROM (SELECT conv_id, turn, first_value(conv_id) OVER w AS first_conv, first_value(turn) OVER w AS first_turn, row_number() OVER w AS r FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY md5({_KEY}) ORDER BY conv_id, turn)) WHERE r > 1""")
+@query("dup_report", f"""SELECT doc_id, first_doc FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5({_KEY})) AS first_doc FROM documents) WHERE doc_id <> first_doc""")
 def _(t: Tables) -> DataFrame:
-    w = Window.partitionBy(F.md5(X.norm_question(F.col("text")))).orderBy("conv_id", "turn")
-    d = t.conversations.where("role = 'user'").select("conv_id", "turn", F.first("conv_id").over(w).alias("first_conv"), F.first("turn").over(w).alias("first_turn"), F.row_number().over(w).alias("r"))
-    return d.where("r > 1").drop("r")
+    """Dropped documents and the one that stays in their place."""
+    d = t.documents.select("doc_id", F.md5(X.norm_question(F.col("text"))).alias("hash"))
+    return d.join(d.groupBy("hash").agg(F.min("doc_id").alias("first_doc")), "hash").where("doc_id <> first_doc").select("doc_id", "first_doc")
 
 
 def _ranked(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -316,9 +316,10 @@ def _(t: Tables) -> DataFrame:
     return numbered(d, bucket, ["o_orderkey"]).select("o_orderkey", "line_no").where("line_no between 100 and 299")
 
 
-@query("latest_upsert", "SELECT user_id, event_type, arg_max(value, ts) AS value, max(ts) AS updated_at FROM events GROUP BY 1, 2")
+@query("latest_upsert", "SELECT user_id, event_type, last(value ORDER BY ts, event_id) AS value, max(ts) AS updated_at FROM events GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("updated_at"))
+    """Of equal stamps the larger event_id counts."""
+    return t.events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("updated_at"))
 
 
 @query("csv_row_text", "SELECT p_partkey, concat_ws(' | ', 'p_partkey: ' || p_partkey, CASE WHEN trim(p_name) <> '' THEN 'p_name: ' || p_name END, CASE WHEN trim(p_brand) <> '' THEN 'p_brand: ' || p_brand END, 'p_size: ' || p_size) AS line FROM part")
