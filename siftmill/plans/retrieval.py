@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import lexical_index as L
 from ..operators import ranking as R
+from ..operators import vector_index as V
 from ..sources import stages
 from .registry import Tables, query
 
@@ -72,6 +73,29 @@ def _(t: Tables) -> DataFrame:
     return R.lsh_neighbours(vectors(t), query_vectors(t), 10, 64)
 
 
+def _lists(t: Tables, n: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates by lists and codes, and the neighbours from them: three quarters of the lists are looked into, at most 8 % of the vectors are scored."""
+    corpus, size = vectors(t), t.embeddings.count()
+    books = V.train(corpus)
+    found = stages.written(V.candidates(V.build_lists(corpus, books), query_vectors(t), books, probes=max(1, len(books.centres) * 3 // 4), refine=min(25 * n, max(n, size * 8 // 100))), "candidates")
+    return found, V.neighbours(corpus, query_vectors(t), found, n)
+
+
+@query("knn_ivf")
+def _(t: Tables) -> DataFrame:
+    return _lists(t, 10)[1]
+
+
+@query("knn_ivf_report")
+def _(t: Tables) -> DataFrame:
+    """Recall against the exact search, and the share of all pairs that were scored exactly."""
+    found, best = _lists(t, 10)
+    exact = R.knn(vectors(t), query_vectors(t), 10).select("query_id", "id")
+    hits = exact.join(best.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+    pairs = t.embeddings.agg((F.count("*") * F.count_if(F.col("vec_id") % 50 == 0)).alias("pairs"))  # one row each
+    return hits.join(found.agg(F.count("*").alias("scored"))).join(pairs).select("recall", F.round(F.col("scored") / F.col("pairs"), 4).alias("scored_share"))
+
+
 _TWO = f"""{_KNN}, b AS (SELECT *, 1 AS pass_no FROM {_top('k', 6, 'WHERE label IN (0, 1)')} UNION ALL SELECT *, 2 FROM {_top('k', 12)}), m AS (SELECT query_id, id, min(pass_no) AS pass_no, arg_min(rank, pass_no) AS pr, arg_min(similarity, pass_no) AS similarity FROM b WHERE similarity >= 0.1 GROUP BY ALL),
 two AS (SELECT query_id, id, pass_no, similarity, row_number() OVER (PARTITION BY query_id ORDER BY pass_no, pr, id)::INT AS rank FROM m)"""
 
