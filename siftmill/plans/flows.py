@@ -187,6 +187,15 @@ def streamed(t: Tables, name: str, job, mode: str = "append") -> DataFrame:
 @query("stream_latency", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i::INT) AS window_start, value, event_type FROM events, range(24) r(i))
 SELECT window_start, count(*) AS n, round(avg(value), 3) AS mean, round(quantile_disc(value, 0.5), 3) AS p50, round(quantile_disc(value, 0.95), 3) AS p95, count(*) FILTER (WHERE event_type = 'error') AS failures
 FROM w WHERE window_start + INTERVAL 24 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    """24 hours sliding by one; a window comes out once the watermark has passed its end."""
+    d = streamed(t, "latency", lambda s: jobs.windowed_latency(s, "24 hours", "1 hour"))
+    return d.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("stream_latency_parts", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i::INT) AS window_start, value, round(value * 100)::BIGINT AS cents, event_type FROM events, range(24) r(i))
+SELECT window_start, count(*) AS n, (sum(cents)::BIGINT * 20 + count(*)) // (2 * count(*)) / 1000.0::DOUBLE AS mean, round(quantile_disc(value, 0.5), 3) AS p50, round(quantile_disc(value, 0.95), 3) AS p95, count(*) FILTER (WHERE event_type = 'error') AS failures
+FROM w WHERE window_start + INTERVAL 24 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     """24 hours sliding by one, from hours that a stream sums up: an event is in one row, an hour's row in 24 windows. A window comes out once the watermark has passed its end."""
     path = folder(t, "latency")
