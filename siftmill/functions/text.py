@@ -8,9 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no search meaning; fixed values.
-STOP_WORDS = (
-    "what how why when where which who does do is are was were the a an of in for to and or with about from that this can tell me explain describe provide give its their they it be been being have has had"
-).split()
+STOP_WORDS = [
+    "what", "how", "why", "when", "where", "which", "who", "does", "do", "is", "are", "was", "were", "the", "a", "an", "of", "in", "for", "to", "and",
+    "or", "with", "about", "from", "that", "this", "can", "tell", "me", "explain", "describe", "provide", "give", "its", "their", "they", "it", "be",
+    "been", "being", "have", "has", "had",
+]
 #: Answers that say nothing, searched in lower case; fixed values.
 BAD_ANSWERS = (r"i (don't|do not|cannot|can't) know", r"i'm not sure", r"no (answer|information|data) (available|found|provided)", r"^n/?a$", r"\berror\b", r"\bexception\b")
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
@@ -54,7 +56,7 @@ def script_language(text: Column, first: int = 50) -> Column:
     return F.when(F.substring(text, 1, first).rlike("[؀-ۿ]"), "fa").otherwise("en")
 
 
-#: Pattern and replacement, in order: page numbers, upper-case header lines, URLs, e-mail addresses, symbols, space before punctuation.
+#: Fixed values, pattern and replacement in order; the classes for URLs and symbols are written out, as neither Java nor DuckDB has a Unicode ``\w``. Page numbers, upper-case header lines, URLs, e-mail addresses, symbols, space before punctuation.
 CLEANING = (
     (r" +", " "), (r"\n{3,}", "\n\n"), (r"\n\d+\n", "\n"), (r"\n- \d+ -\n", "\n"), (r"\n[A-Z\s]{10,}\n", "\n"), (r"https?://[!$-_a-z]+", ""), (r"\S+@\S+", ""),
     (r"[^\p{L}\p{N}_\s\p{Z}.,;:!?()\[\]{}'\"°%$€£¥/\\-]", " "), (r"[\s\p{Z}]+([.,;:!?])", "$1"), (r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""),
