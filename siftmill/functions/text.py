@@ -72,7 +72,7 @@ def clean_text(text: Column) -> Column:
 
 def clean_page_lines(text: Column) -> Column:
     """Trimmed lines without blank, all-digit, page-marker and very short ones."""
-    lines = F.transform(F.split(F.translate(text, "\0", ""), "\n"), F.trim)
+    lines = F.transform(F.split(F.translate(text, "\0", ""), "\n"), lambda x: F.trim(x))  # F.trim itself would take the place of a line as characters to cut
     return F.array_join(F.filter(lines, lambda x: (F.length(x) >= 4) & ~x.rlike(r"^\d+$") & ~F.lower(x).rlike(r"^(page|p\.)\s*\d+")), "\n")
 
 

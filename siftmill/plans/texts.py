@@ -159,7 +159,7 @@ def _(t: Tables) -> DataFrame:
 @query("extract_items_struct", r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 15)[1:5] AS s FROM documents)
 SELECT doc_id, unnest(range(1, len(s) + 1))::INT AS n, unnest(s)[1:40] AS cause, CASE WHEN contains(unnest(s), ' the ') THEN 'HIGH' WHEN contains(unnest(s), ' of ') THEN 'MEDIUM' ELSE 'LOW' END AS likelihood FROM d""")
 def _(t: Tables) -> DataFrame:
-    lines = F.slice(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) >= 15), 1, 5)
+    lines = F.slice(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 15), 1, 5)
     d = t.documents.select("doc_id", F.posexplode(lines).alias("p", "x"))
     rate = F.when(F.col("x").contains(" the "), "HIGH").when(F.col("x").contains(" of "), "MEDIUM").otherwise("LOW")
     return d.select("doc_id", (F.col("p") + 1).alias("n"), F.substring("x", 1, 40).alias("cause"), rate.alias("likelihood"))
