@@ -20,18 +20,18 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 #: so an edit there makes another notice; where there is no such pattern, notices of other labels are far away.
 NOTICES = (
     ("mit", "released under the mit license", r" mit "),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ""),
-    ("apache", "licensed under the apache license version 2 0", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", r" is hereby granted "),
+    ("apache", "licensed under the apache license version 2 0", r" licen[sc]ed under "),
     ("gpl", "licensed under the gnu general public license version", r" general "),
     ("lgpl", "licensed under the gnu lesser general public license version", r" lesser "),
     ("agpl", "licensed under the gnu affero general public license version", r" affero "),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general", r" gnu general "),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ""),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ""),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", ""),
-    ("boost", "distributed under the boost software license version 1 0", ""),
-    ("epl", "made available under the terms of the eclipse public license", ""),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ""),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general", r" is free software .* gnu general "),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", r" are permitted "),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", r" is hereby granted "),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", r" is subject "),
+    ("boost", "distributed under the boost software license version 1 0", r" distributed under "),
+    ("epl", "made available under the terms of the eclipse public license", r" available under "),
+    ("unlicense", "this is free and unencumbered software released into the public domain", r" is free and unencumbered "),
     ("cc0", "dedicated to the public domain under cc0 1 0", r" cc0 "),
     ("cc-by", "licensed under cc by 4 0", r" cc by (?!nc |sa |nd )"),
     ("cc-by-sa", "licensed under cc by sa 4 0", r" cc by sa "),
@@ -39,7 +39,26 @@ NOTICES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", r" cc by nc (?!sa |nd )"),
     ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", r" cc by nc sa "),
     ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", r" cc by nc nd "),
+    ("agpl", "licensed under the gnu affero public license", r" affero public "),
+    ("mpl", "mozilla public license version 2 0", r" mozilla public license "),
+    ("bsd", "bsd 3 clause license", r" bsd [0-9] clause "),
+    ("cc-by", "creative commons attribution 4 0", r" commons attribution [0-9]"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0", r" commons attribution sharealike "),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0", r" commons attribution noderivatives "),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0", r" attribution noncommercial [0-9]"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0", r" noncommercial sharealike "),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0", r" noncommercial noderivatives "),
+    ("mit", "spdx license identifier mit", r" identifier mit "),
+    ("apache", "spdx license identifier apache 2 0", r" identifier apache "),
+    ("gpl", "spdx license identifier gpl", r" identifier gpl "),
+    ("lgpl", "spdx license identifier lgpl", r" identifier lgpl "),
+    ("agpl", "spdx license identifier agpl", r" identifier agpl "),
+    ("bsd", "spdx license identifier bsd", r" identifier bsd "),
+    ("isc", "spdx license identifier isc", r" identifier isc "),
+    ("mpl", "spdx license identifier mpl 2 0", r" identifier mpl "),
 )
+#: A notice right behind one of these says the opposite; fixed values.
+NEGATIONS = (" not ", " never ", " not", " never")
 _L, _S = T.LongType(), T.StringType()
 _SPANS = T.ArrayType(T.StructType([T.StructField("label", _S), T.StructField("start", _L), T.StructField("end", _L), T.StructField("edits", _L)]))
 SCHEMA = T.StructType([T.StructField("doc_id", _L), T.StructField("n_words", _L), T.StructField("n_base", _L), T.StructField("first_word", _L), T.StructField("last_word", _L), T.StructField("base_labels", _S), T.StructField("labels", _S), T.StructField("score", T.DoubleType()), T.StructField("spans", _SPANS)])
@@ -70,46 +89,57 @@ class NoticeScanner:
     def scan(self, text: str | None) -> tuple:
         data, words = alnum_words(text)
         line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-        base, windows = [], {}
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+        base, windows, whole = [], {}, set()
         for end, (length, uses) in self.machine.iter(line):
             start = end - length + 1
             for kind, of, x in uses:
                 if kind == "phrase":
-                    base.append((line.count(" ", 0, start), of))
+                    base.append((start, of))
                 else:
                     _, notice, k, *_ = self.notices[of]
+                    if line.startswith(notice, start - x) and start >= x:  # unchanged: no search is needed
+                        whole.add((start - x, of))
+                        continue
                     windows.setdefault(of, []).append((max(0, start - x - k), start - x + len(notice) + 2 * k))
         found = []
+
+        def add(n: int, a: int, b: int, edits: int) -> None:
+            label, notice, _, _, own = self.notices[n]
+            kept = own.search(line, max(0, a - 1), b + 8)  # what may not follow can stand behind the match
+            if kept and kept.end() <= b + 1 and not line.endswith(NEGATIONS, max(0, a - 8), a):
+                found.append((edits, -len(notice), a, b, label))
+
+        for a, n in whole:
+            add(n, a, a + len(self.notices[n][1]), 0)
         for n, places in windows.items():
-            label, notice, _, pattern, own = self.notices[n]
+            _, _, _, pattern, own = self.notices[n]
             for a, b in merged(places):
-                for m in pattern.finditer(line, a, b):
-                    kept = own.search(line, max(0, m.start() - 1), m.end() + 8)  # what may not follow can stand behind the match
-                    if kept and kept.end() <= m.end() + 1:
-                        found.append((sum(m.fuzzy_counts), -len(notice), *m.span(), label))
-        spans, score = [], 1.0 if base else 0.0
+                if own.search(line, max(0, a - 1), b + 8):
+                    for m in pattern.finditer(line, a, b):
+                        add(n, *m.span(), sum(m.fuzzy_counts))
+        spans, score, taken = [], 1.0 if base else 0.0, bytearray(len(line) if found else 0)
         for edits, size, a, b, label in sorted(found):
-            if all(b <= c or d <= a for _, c, d, _ in spans):
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = bytes([1]) * (b - a)
                 spans.append((label, a, b, edits))
                 score = max(score, 1 + edits / size)
         if spans:
-            spans = self._original(text, data, line, spans)
+            spans = self._original(text, data, line, spaces, spans)
         base_labels = {x for _, x in base}
-        at = [w for w, _ in base]
-        return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {s["label"] for s in spans})), score, spans
+        first, last = (int(np.searchsorted(spaces, base[i][0])) for i in (0, -1)) if base else (None, None)
+        return len(words), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {s["label"] for s in spans})), score, spans
 
     @staticmethod
-    def _original(text: str, data: bytes, line: str, spans: list[tuple]) -> list[dict]:
+    def _original(text: str, data: bytes, line: str, spaces: np.ndarray, spans: list[tuple]) -> list[dict]:
         """Places in the spaced words as code points of the text: from the first touched word to the last."""
         starts, ends = word_bounds(data)
-        out = []
-        for label, a, b, edits in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
-            body = line[a:b]
-            first = line.count(" ", 0, a + len(body) - len(body.lstrip()) + 1) - 1
-            last = line.count(" ", 0, a + len(body.rstrip())) - 1
-            i, j = char_offsets(text, [int(starts[max(0, first)]), int(ends[min(last, len(ends) - 1)])])
-            out.append({"label": label, "start": i, "end": j, "edits": edits})
-        return out
+        spans = sorted(spans, key=lambda s: (s[1], s[2], s[0]))
+        bare = [(a + len(body) - len(body.lstrip()), a + len(body.rstrip())) for _, a, b, _ in spans for body in (line[a:b],)]
+        words = np.searchsorted(spaces, np.array(bare) + [1, 0]) - 1  # spaces up to the first character, and before the end
+        places = np.stack([starts[np.clip(words[:, 0], 0, len(starts) - 1)], ends[np.clip(words[:, 1], 0, len(ends) - 1)]], axis=1)
+        offsets = np.reshape(char_offsets(text, places.ravel().tolist()), (-1, 2)).tolist()
+        return [{"label": label, "start": i, "end": j, "edits": edits} for (label, _, _, edits), (i, j) in zip(spans, offsets)]
 
 
 def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -78,7 +78,7 @@ def test_labels_by_edit_distance(spark):
     """One edited notice a text: found if and only if its edits are few enough and its own words stand, at no other place and under no other label."""
     rng = random.Random(4)
     rows = []
-    for i in range(240):
+    for i in range(400):
         label, notice, own = licenses.NOTICES[i % len(licenses.NOTICES)]
         chars = list(notice)
         for _ in range(rng.randint(0, 1 + licenses.edits_allowed(notice))):
@@ -98,3 +98,27 @@ def test_labels_by_edit_distance(spark):
             met += 1
             assert {x for _, x in near if len({y for _, y in near}) == 1} <= labels and min(near)[0] == min(s["edits"] for s in got[i]["spans"])
     assert met > 150
+
+
+def test_negated_and_named_licenses():
+    scan = licenses.NoticeScanner().scan
+    cases = {
+        "Permission is not granted free of charge to any person obtaining a copy of this software": "", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl", "// SPDX-License-Identifier: MIT": "mit",
+        "the Mozilla Public License, version 2.0": "mpl", "Creative Commons Attribution 4.0 International": "cc-by", "Creative Commons Attribution-ShareAlike 3.0": "cc-by-sa", "Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc",
+        "Licensed under the GNU Affero Public License": "agpl", "BSD 3-Clause License": "bsd", "BSD 2-Clause license": "bsd", "not distributed under the Boost Software License, version 1.0": "",
+        "redistribution and use in source and binary forms with or without modification are not permitted": "", "This source code form is not subject to the terms of the Mozilla Public License": "",
+    }
+    for text, label in cases.items():
+        assert scan(text)[5] == label, text
+
+
+def test_a_very_long_text_of_notices_takes_time_by_its_length():
+    """Ten megabytes, every place found."""
+    import time
+
+    scan, text = licenses.NoticeScanner().scan, "released under the mit license, " * 320_000
+    start = time.time()
+    n, base, first, last, *_, spans = scan(text)
+    assert (n, base, first, last, len(spans)) == (1_600_000, 320_000, 3, 1_599_998, 320_000)
+    assert all(text[s["start"] : s["end"]] == "released under the mit license" and s["edits"] == 0 for s in spans[::1000])
+    assert time.time() - start < 60
