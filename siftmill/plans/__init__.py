@@ -1,4 +1,4 @@
 """Every registered query of the library and its DuckDB text."""
 
-from . import analytics, files, flows, hygiene, reports, retrieval, texts  # noqa: F401
+from . import analytics, files, flows, hygiene, reports, retrieval, tables, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

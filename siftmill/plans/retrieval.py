@@ -151,9 +151,9 @@ def _(t: Tables) -> DataFrame:
 def hybrid(t: Tables, queries: DataFrame, fusion: str = "union", n: int = 6) -> DataFrame:
     """Dense, then lexical, fused, re-ranked on the texts, boosted by source type.
 
-    ``queries``: query_id, text. ``fusion="disjoint"`` takes lexical rows the dense list already has out before the fusion.
+    ``queries``: query_id, text. Queries in Arabic script get no lexical rows. ``fusion="disjoint"`` takes lexical rows the dense list already has out before the fusion.
     """
-    dense, lexical = _dense(t), R.bm25(corpus(t), queries, 8)
+    dense, lexical = _dense(t), R.bm25(corpus(t), queries.where(X.script_language(F.col("text")) == "en"), 8)
     if fusion == "disjoint":
         lexical = lexical.join(dense.select("query_id", "id"), ["query_id", "id"], "left_anti")
     best = R.rerank(R.rrf([dense, lexical]).drop("list_no"), queries, corpus(t), n)
@@ -186,6 +186,15 @@ def _(t: Tables) -> DataFrame:
     return hybrid(t, q.select("query_id", F.col("expanded").alias("text"))).join(q.select("query_id", "language"), "query_id")
 
 
+_TWO_SCRIPTS = """asked AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'دمای شیشه ' ELSE '' END || text AS text, item_id % 3 > 0 AS english FROM benchmark)"""
+
+
+@query("hybrid_two_scripts", _HYBRID.replace("WITH ", f"WITH {_TWO_SCRIPTS}, ", 1).replace("JOIN benchmark b", "JOIN asked b").replace("AS term FROM benchmark", "AS term FROM asked WHERE english") + " SELECT * FROM hybrid")
+def _(t: Tables) -> DataFrame:
+    """A third of the queries begins in Arabic script: dense rows only for these."""
+    return hybrid(t, asked(t).withColumn("text", F.concat(F.when(F.col("query_id") % 3 == 0, "دمای شیشه ").otherwise(""), "text")))
+
+
 @query("context_pack", f"""WITH {_bm25_sql(8)}, pc AS (SELECT bm.query_id, bm.rank, CASE WHEN bm.rank > 3 AND bm.score < 25 THEN d.text[1:500] ELSE d.text[1:1000] END AS piece FROM bm JOIN documents d ON d.doc_id = bm.id),
 u AS (SELECT *, 60 + sum(length(piece)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM pc), st AS (SELECT *, min(CASE WHEN rank > 3 AND used > 5000 THEN rank END) OVER (PARTITION BY query_id) AS stop FROM u)
 SELECT query_id, count(*) AS n_chunks, string_agg(piece, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM st WHERE stop IS NULL OR rank < stop GROUP BY query_id""")
