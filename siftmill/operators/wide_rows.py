@@ -37,28 +37,30 @@ def readable_names(names: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def described(rows: DataFrame, names: dict[str, str], most_parts: int = 20, most_values: int = 15) -> DataFrame:
-    """Adds ``parts`` and ``values`` (array<struct<name,amount,text>>) and their texts ``part_text`` and ``value_text``, in column order.
+    """Adds ``parts`` and ``values`` (array<struct<name,amount>>, amount null for a text) and their texts ``part_text`` and ``value_text``, in column order.
 
     Null and blank cells are left out, as are numbers of a composition that are not above 0. Numbers have two decimals in a composition and four
     significant digits else. A row without any cell has empty lists and texts.
     """
 
-    def cell(c: str, name: str, part: bool) -> Column:
+    def cell(c: str, name: str, part: bool) -> tuple[Column, Column]:
         text = F.trim(F.col(c).cast("string"))
         number = text.try_cast("double")
-        said = F.concat(F.lit(f"{name}: "), F.format_string("%.2f%%", number)) if part else F.concat(F.lit(f"{name}="), significant(number))
-        other = F.concat(F.lit(f"{name}: " if part else f"{name}="), text)
+        mark = F.lit(f"{name}: " if part else f"{name}=")
+        said = F.concat(mark, F.when(number.isNull(), text).otherwise(F.format_string("%.2f%%", number) if part else significant(number)))
         holds = (text != "") & (number.isNull() | (number > 0) if part else F.lit(True))
-        return F.when(holds, F.struct(F.lit(name).alias("name"), number.alias("amount"), F.when(number.isNull(), other).otherwise(said).alias("text")))
+        return F.when(holds, F.struct(F.lit(name).alias("name"), number.alias("amount"))), F.when(holds, said)
 
-    def cells(beginnings: tuple[str, ...], part: bool) -> Column:
+    def add(d: DataFrame, beginnings: tuple[str, ...], part: bool, most: int, column: str, text: str) -> DataFrame:
         own = [cell(c, c[5:].upper().replace("_", "") if part else names.get(c.lower(), c), part) for c in rows.columns if c.startswith(beginnings)]
-        empty = F.lit(None).cast("struct<name:string,amount:double,text:string>")
-        return F.filter(F.array(*own, empty), lambda x: x.isNotNull())
+        texts = [t for _, t in own]
+        # as many columns as may be named need no list, and so stay in generated code
+        joined = F.concat_ws(", ", *texts) if len(own) <= most else F.array_join(F.slice(F.array_compact(F.array(*texts)), 1, most), ", ")
+        empty = F.lit(None).cast("struct<name:string,amount:double>")
+        return d.withColumn(column, F.array_compact(F.array(*[c for c, _ in own], empty))).withColumn(text, joined)
 
-    joined = lambda c, most: F.array_join(F.transform(F.slice(c, 1, most), lambda x: x["text"]), ", ")
-    found = rows.withColumn("parts", cells(PARTS, True)).withColumn("values", cells(VALUES, False))
-    return found.withColumn("part_text", joined("parts", most_parts)).withColumn("value_text", joined("values", most_values))
+    found = add(rows, PARTS, True, most_parts, "parts", "part_text")
+    return add(found, VALUES, False, most_values, "values", "value_text")
 
 
 def row_text(key: Column, title: str = "Glass #", between: str = " — ") -> Column:
@@ -86,7 +88,7 @@ def row_examples(rows: DataFrame, key: str, asked: Sequence[str], about: Sequenc
     measured = F.when(F.col("value_text") != "", F.concat(F.lit(" Its measured properties include: "), "value_text", F.lit("."))).otherwise("")
     answer = F.concat(F.lit("Glass #"), own, F.lit(f" from the {source} has the following composition: "), F.col("part_text"), F.lit("."), measured)
     second = F.when((_bucket(own, seed + "h") % 100 < 50) & (F.size(numbers) > 0), F.struct(F.lit(1).alias("n"), question.alias("question"), answer.alias("answer")))
-    return rows.where("size(parts) + size(values) > 0").select(key, F.explode(F.array(first, second)).alias("e")).where("e is not null").select(key, "e.*")
+    return rows.where("part_text <> '' OR value_text <> ''").select(key, F.explode(F.array(first, second)).alias("e")).where("e is not null").select(key, "e.*")
 
 
 def _bucket(key: Column, seed: str) -> Column:
