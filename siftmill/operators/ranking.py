@@ -133,8 +133,8 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalise(v: Column, prefix: int | None = None) -> Column:
     """A unit vector, of the first ``prefix`` places if given; a zero vector stays."""
     v = F.slice(v, 1, prefix) if prefix else v
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    once = lambda c, use: F.transform(F.array(c), use)[0]  # noqa: E731  # a lambda's argument is computed once a row, not once a place
+    return once(v, lambda a: once(F.sqrt(dot(a, a)), lambda norm: F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))))
 
 
 def knn(corpus: DataFrame, queries: DataFrame, n: int, threshold: float | None = None, block: int = 512) -> DataFrame:
