@@ -262,32 +262,66 @@ def pack_context(ranked: DataFrame, text: str, score: str, budget: int = 7200, s
     return packed.select("query_id", "n_chunks", F.array_join("p.piece", "\n---\n").alias("context"))
 
 
-def lsh_neighbours(corpus: DataFrame, queries: DataFrame, n: int, dims: int, tables: int = 32, bits: int = 12, probes: int = 2, reach: int = 10, seed: int = 42) -> DataFrame:
-    """Approximate nearest vectors: random-hyperplane signs in ``tables`` bands, an equi-join of ids, and exact scores.
-
-    A vector is stored once in each band. A query looks also into the buckets that differ in up to ``probes`` of its
-    ``reach`` least certain signs (of the planes it lies closest to). The join carries ids only; vectors are fetched for
-    the distinct candidates.
+def _lsh_best(queries: np.ndarray, keys: np.ndarray, scores: np.ndarray, n: int) -> pd.DataFrame:
+    """As ``_best``, where -inf marks what is no candidate; only what reaches a query's n-th score is sorted."""
+    least = np.partition(scores, len(keys) - n, axis=0)[len(keys) - n] if len(keys) > n else np.full(len(queries), -np.inf)
+    row, q = np.nonzero((scores >= least) & (scores > -np.inf))
+    order = np.lexsort((keys[row], -scores[row, q], q))
+    row, q = row[order], q[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < n
+    row, q = row[first], q[first]
+    return pd.DataFrame({"query_id": queries[q], "id": keys[row], "similarity": scores[row, q]})
+
+
+def lsh_neighbours(corpus: DataFrame, queries: DataFrame, n: int, dims: int, tables: int = 32, bits: int = 12, probes: int = 2, reach: int = 10, seed: int = 42, block: int = 512) -> DataFrame:
+    """Approximate nearest vectors: random-hyperplane signs in ``tables`` bands, and exact scores of the vectors in a query's buckets.
+
+    A query looks also into the buckets that differ in up to ``probes`` of its ``reach`` least certain signs (of the
+    planes it lies closest to). ``block`` queries at a time are sent as a bit set for each bucket; a vector takes the sets of
+    its ``tables`` buckets together, so candidate pairs are never rows: only each query's first ``n`` of a batch leave a task.
     """
+    spark = corpus.sparkSession
     planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
     flips = [f for k in range(probes + 1) for f in combinations(range(min(bits, reach)), k)]
+    power, band = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(tables, dtype=np.int64) << bits
+
+    def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (vectors @ planes).reshape(len(vectors), tables, bits)
+        return at, ((at > 0) * power).sum(axis=2)
+
+    def buckets(vectors: np.ndarray) -> np.ndarray:
+        """A bit for each query in each bucket it looks into."""
+        at, code = codes(vectors)
+        unsure = power[np.argsort(np.abs(at), axis=2)]
+        sets = np.zeros((tables << bits, -(-len(vectors) // 8)), np.uint8)
+        bit = (np.uint8(1) << (np.arange(len(vectors)) % 8).astype(np.uint8))[:, None]
+        for f in flips:
+            found = (code ^ sum((unsure[:, :, i] for i in f), np.int64(0))) + band
+            np.bitwise_or.at(sets, (found, np.arange(len(vectors))[:, None] // 8), bit)
+        return sets
+
+    out = None
+    for own in _in_blocks(queries.select("query_id", "vector"), max(1, -(-queries.count() // block))):
+        rows = own.collect()  # about ``block`` queries, none of the corpus
+        if not rows:
+            continue
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)))
 
-    def keys(vectors: pd.Series, probe: bool) -> pd.Series:
-        at = (np.stack(vectors.to_numpy()) @ planes).reshape(len(vectors), tables, bits)
-        power = np.int64(1) << np.arange(bits, dtype=np.int64)
-        code = ((at > 0) * power).sum(axis=2)
-        found = code[:, :, None]
-        if probe:
-            unsure = power[np.argsort(np.abs(at), axis=2)]
-            found = np.stack([code ^ sum((unsure[:, :, i] for i in f), np.int64(0)) for f in flips], axis=2)
-        band = np.arange(tables, dtype=np.int64)[None, :, None] << bits
-        return pd.Series(list((found + band).reshape(len(vectors), -1)))
-
-    stored = pandas_udf(lambda v: keys(v, False), "array<long>")
-    probed = pandas_udf(lambda v: keys(v, True), "array<long>")
-    c = corpus.select("id", F.explode(stored("vector")).alias("band"))
-    q = queries.select("query_id", F.explode(probed("vector")).alias("band"))
-    pairs = q.join(c, "band").select("query_id", "id").distinct()
-    pairs = pairs.join(queries.select("query_id", F.col("vector").alias("q")), "query_id").join(corpus.select("id", "vector"), "id")
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("similarity"))
-    return top(scored, ["query_id"], [F.desc("similarity"), F.col("id")], n)
+        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, matrix = held.value
+            sets = buckets(matrix)
+            for batch in batches:
+                for lo in range(0, len(batch), 2000):
+                    part = batch.iloc[lo : lo + 2000]
+                    vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                    met = np.zeros((len(part), sets.shape[1]), np.uint8)
+                    for at in (codes(vectors)[1] + band).T:
+                        met |= sets[at]
+                    near = np.unpackbits(met, axis=1, count=len(ids), bitorder="little") > 0
+                    yield _lsh_best(ids, part["id"].to_numpy(), np.where(near, np.round(vectors @ matrix.T, 6), -np.inf), n)
+
+        part = corpus.select("id", "vector").mapInPandas(score, "query_id long, id long, similarity double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, id long, similarity double")
+    return top(out, ["query_id"], [F.desc("similarity"), F.col("id")], n)

@@ -186,3 +186,12 @@ def test_a_norm_is_computed_once_a_row(spark):
     start = time.monotonic()
     sums = d.select(ranking.l2_normalise(F.col("v")).alias("u")).select(ranking.dot(F.col("u"), F.col("u")).alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-9 for r in sums) and time.monotonic() - start < 8  # 360 million places where each place took its own norm
+
+
+def test_lsh_candidates_are_no_rows(spark):
+    d = spark.createDataFrame([(i, [float((i * 7 + k * 13) % 11 - 5) for k in range(8)]) for i in range(60)], "id long, vector array<double>")
+    q = d.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = ranking.lsh_neighbours(d, q, 3, 8, block=2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert {r["id"] for r in rows if r["rank"] == 1} >= {0} and all(r["similarity"] >= 0 for r in rows) and len(rows) == 9
