@@ -6,6 +6,7 @@ Random choices are md5 buckets of an id and a seed: the same under any partition
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,9 +50,9 @@ def numbered(df: DataFrame, bucket: Column, order: Sequence[str]) -> DataFrame:
 
 
 def exact_holdout(df: DataFrame, key: str, seed: str, share: float, least: int) -> DataFrame:
-    """Adds ``split``: exactly ``max(share, least)`` rows are val, those first in the seeded order."""
+    """Adds ``split``: exactly ``max(share, least)`` rows are val (the share rounded half up), those first in the seeded order."""
     n = df.count()
-    size = min(n, max(int(n * share), least))
+    size = min(n, max(int((n * Decimal(str(share))).quantize(Decimal(1), ROUND_HALF_UP)), least))
     d = df.withColumn("_h", seeded(F.col(key), seed))
     digits = min(5, max(3, len(f"{n // 4000:x}")))  # even buckets, of about 4,000 rows up to a million buckets
     d = numbered(d, F.substring("_h", 1, digits), ["_h", key])
