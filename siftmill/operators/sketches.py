@@ -66,3 +66,17 @@ def active_users(parts: DataFrame, days: Sequence[int] = (7, 30)) -> DataFrame:
     last = parts.agg(F.max("day").alias("last"))  # one row
     spans = parts.join(F.broadcast(last)).withColumn("days", F.explode(F.array(*map(F.lit, days)))).where("datediff(last, day) < days")
     return spans.groupBy("days").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.sum("events").alias("events"))
+
+
+def user_days(events: DataFrame, user: str = "user_id") -> DataFrame:
+    """(day, user, events): the exact form of ``user_parts``, a row for each user of a day."""
+    return events.groupBy(F.to_date("ts").alias("day"), F.col(user).alias("user")).agg(F.count("*").alias("events"))
+
+
+def active_users_exact(rows: DataFrame, days: Sequence[int] = (7, 30)) -> DataFrame:
+    """As ``active_users`` from ``user_days``: a user's days are put together first, so no task holds the users. Always a row for each of ``days``; a null user's events count, not the user."""
+    last = rows.agg(F.max("day").alias("last"))  # one row
+    aged = rows.join(F.broadcast(last)).withColumn("age", F.datediff("last", "day"))
+    one = aged.groupBy("user").agg(*[F.sum(F.when(F.col("age") < d, F.col("events"))).alias(f"_{d}") for d in days])
+    all_ = one.agg(*[c for d in days for c in (F.count_if(F.col("user").isNotNull() & F.col(f"_{d}").isNotNull()).alias(f"_users_{d}"), F.coalesce(F.sum(f"_{d}"), F.lit(0)).alias(f"_events_{d}"))])
+    return all_.select(F.inline(F.array(*[F.struct(F.lit(d).alias("days"), F.col(f"_users_{d}").alias("users"), F.col(f"_events_{d}").alias("events")) for d in days])))

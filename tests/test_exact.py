@@ -20,3 +20,13 @@ def test_a_title_keeps_digits_at_its_ends(spark, tmp_path):
 def test_a_share_is_rounded_half_up(spark):
     val = lambda n: dataset.exact_holdout(spark.range(n), "id", "c", 0.02, 1).where("split = 'val'").count()
     assert [val(n) for n in (74, 75, 100, 124, 125)] == [1, 2, 2, 2, 3]
+
+
+def test_active_users_are_counted_exactly(spark, tmp_path):
+    events = spark.range(60_000).select((F.col("id") % 20_011).alias("user_id"), F.timestamp_seconds(F.lit(1_700_006_400) + F.col("id") * 60).cast("timestamp_ntz").alias("ts"))
+    got = {r["days"]: (r["users"], r["events"]) for r in ask(spark, tmp_path, "active_users_parts", events=events)}
+    last = events.agg(F.max("ts")).head()[0]
+    for d in (7, 30):
+        kept = events.where(F.datediff(F.lit(last), "ts") < d)
+        assert got[d] == (kept.select("user_id").distinct().count(), kept.count())
+    assert sorted(ask(spark, tmp_path, "active_users_parts", events=events.limit(0))) == [(7, 0, 0), (30, 0, 0)]
