@@ -4,8 +4,8 @@ Repetitive text compresses to less, noise to more, than running text of the same
 length band (a power of two of bytes) has its own lowest and highest ratio. A document is rejected if its
 whole ratio leaves its band or more than ``MOST_ODD`` of its fixed chunks leave theirs.
 
-The limits are fitted: quantiles of the ratios of documents labelled good, on a bounded sample of them, widened
-by a share of their distance. Bands with too few labelled documents keep the wide fixed limits.
+The limits are fitted: exact quantiles of the ratios of all documents labelled good, widened by a share of their
+distance. Bands with too few labelled documents keep the wide fixed limits.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quantiles import exact_quantiles
 from .arrow import blocks, lean, map_texts
+from .common import written
 
 CHUNK, MOST_ODD, LEVEL = 2048, 0.3, 3
-#: The fit: how many labelled documents at most, how many a band needs, the outer quantiles, and how far limits lie beyond them.
-SAMPLE, LEAST, TAIL, MARGIN = 20_000, 30, 0.005, 0.4
+#: The fit: how many labelled documents a band needs, the outer quantiles, and how far limits lie beyond them.
+LEAST, TAIL, MARGIN = 30, 0.005, 0.4
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 _L, _B, _D = T.LongType(), T.BooleanType(), T.DoubleType()
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", _L), ("n_words", _L), ("word_chars", _L), ("n_symbols", _L), ("n_dup_lines", _L), ("n_repeat_words", _L), ("base_failed", _B), ("kept", _B), ("reason", T.StringType()), ("ratio", _D), ("odd_chunks", _D))])
@@ -100,33 +102,36 @@ def _compressor():
     return zstandard.ZstdCompressor(level=LEVEL).compress
 
 
-def fit_limits(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, tail: float = TAIL, margin: float = MARGIN) -> Limits:
-    """Limits from documents labelled good (``labels``: doc_id, quality; 1 is good) that pass the base rules.
+def fit_limits(docs: DataFrame, labels: DataFrame, tail: float = TAIL, margin: float = MARGIN) -> Limits:
+    """Limits from all documents labelled good (``labels``: doc_id, quality; 1 is good) that pass the base rules.
 
-    At most ``sample`` labelled ids take part, those of smallest hash; a bounded number, so they are broadcast. A
-    doc_id labelled both ways does not count. One row a band comes to the driver.
+    Ratios are measured where the texts are and then joined with the labels, so no text is shuffled; the quantiles
+    are exact. A doc_id labelled both ways does not count. One row a band comes to the driver.
     """
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(F.min("quality").alias("q")).where("q = 1")
-    good = good.orderBy(F.xxhash64("good_id"), "good_id").select("good_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("good_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(good), "good_id").select("text")
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(F.min("quality").alias("q")).where("q = 1").select("good_id")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = _compressor()
         for batch in batches:
-            for block in blocks(batch, 0):
-                band, found = [], []
-                for text in block.column(0).to_pylist():
+            for block in blocks(batch, 1):
+                ids, band, found = [], [], []
+                for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
                     data = (text or "").encode("utf-8", "surrogatepass")
                     words = data.split()
                     if len(words) >= 50 and 100 * repeated_words(words) <= 50 * len(words):
                         ratio, chunks = ratios(data, compress)
-                        band += [band_of(len(data)), *[-1] * len(chunks)]
-                        found += [ratio, *chunks]
-                yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(found, pa.float64())], names=["band", "ratio"])
-
-    ends = F.percentile_approx("ratio", [tail, 1 - tail], 10_000).alias("ends")
-    rows = texts.mapInArrow(lean(run), "band int, ratio double").groupBy("band").agg(F.count("*").alias("n"), ends).collect()  # a row a band
-    fitted = {r["band"]: (lo - margin * (hi - lo), hi + margin * (hi - lo)) for r in rows if r["n"] >= LEAST for lo, hi in [r["ends"]]}
+                        ids.append(doc)
+                        band.append(band_of(len(data)))
+                        found.append([ratio, *chunks])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(found, pa.list_(pa.float64()))], names=["good_id", "band", "ratios"])
+
+    measured = texts.mapInArrow(lean(run), "good_id long, band int, ratios array<double>").join(good, "good_id")
+    rows = measured.select(F.col("band").alias("of"), F.posexplode("ratios").alias("place", "value"))
+    counts = written(rows.groupBy(F.when(F.col("place") == 0, F.col("of")).otherwise(-1).alias("band"), "value").agg(F.count("*").alias("n")), "ratios")
+    ends = exact_quantiles(counts, ["band"], {"low": tail, "high": round(1 - tail, 9)})
+    rows = counts.groupBy("band").agg(F.sum("n").alias("n")).join(ends, "band").collect()  # a row a band
+    fitted = {r["band"]: (r["low"] - margin * (r["high"] - r["low"]), r["high"] + margin * (r["high"] - r["low"])) for r in rows if r["n"] >= LEAST}
     chunk = fitted.pop(-1, Limits().chunk)
     return Limits(fitted, chunk)
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from siftmill.llm import quality, queries
 
@@ -141,3 +142,17 @@ def test_keep_good_keeps_columns(odd_docs):
     kept = quality.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in quality.quality_rules(odd_docs).collect() if r["kept"])
+
+
+def test_limits_come_from_every_labelled_document(spark):
+    """Of 20,900 documents the 105 last by the hash of their id decide the upper end; a sample of the first 20,000 has none of them."""
+    n = 20_900
+    last = [r["id"] for r in spark.range(n).orderBy(F.xxhash64("id").desc()).limit(105).collect()]
+    kind = lambda i: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(55)), lambda k: F.concat(F.lit("w"), F.when(F.lit(i), F.substring(F.md5(k.cast("string")), 1, 5)).otherwise(F.lpad(k.cast("string"), 5, "0")))), " ")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(last), kind(True)).otherwise(kind(False)).alias("text"))
+    limits = quality.fit_limits(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    texts = {r["text"].encode() for r in docs.select("text").distinct().collect()}
+    import zstandard
+
+    low, high = sorted(len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b) for b in texts)
+    assert limits.whole == {8: (low - 0.4 * (high - low), high + 0.4 * (high - low))}  # the 105 are one more than the 0.5 % of 20,900
