@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+BLOCK_BYTES = 1 << 20
+
 _STOP, _STOP_BEFORE_CAPITAL = re.compile(r"(?<=[.!?؟۔])\s+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 _PLAIN_STOP = re.compile(r"(?<=[.!?])\s+")
 
@@ -100,11 +104,20 @@ def paragraph_chunks(text: str, size: int = 1500, separator: str = "\n\n") -> li
 
 
 def chunked(df: DataFrame, key: str, text: str, chunker: Callable[[str], list[str]]) -> DataFrame:
-    """(key, chunk, content) of every chunk; null and blank texts give none."""
+    """(key, chunk, content) of every chunk; null and blank texts give none. A worker holds the chunks of ``BLOCK_BYTES`` of text, or of one longer text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, c) for k, t in zip(batch[key], batch[text]) if t and t.strip() for i, c in enumerate(chunker(t))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "content"])
+    kind = df.schema[key].dataType.simpleString()
 
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, chunk int, content string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES)))
+                rows = [(k, i, c) for k, t in enumerate(batch.column(1).slice(at, end - at).to_pylist(), at) if t and t.strip() for i, c in enumerate(chunker(t))]
+                row, place, content = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(content, pa.string())], names=[key, "chunk", "content"])
+                at = end
+        pa.default_memory_pool().release_unused()
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, chunk int, content string")

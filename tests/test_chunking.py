@@ -100,3 +100,14 @@ def test_fixed():
 def test_paragraphs_do_not_share_chunks_with_cut_ones():
     long = "S" * 10 + ". " + "T" * 10 + "."
     assert chunking.paragraph_chunks(f"a\n\n{long}\n\nb\n\nc", 15) == ["a", "S" * 10 + ".", "T" * 10 + ".", "b\n\nc"]
+
+
+def test_chunks_leave_a_worker_by_blocks_of_text(spark):
+    from pyspark.sql import functions as F
+
+    n = 1200
+    d = spark.range(n).repartition(1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 50 == 1, " \n").otherwise(F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words. ")), 300)).alias("text"))
+    got = chunking.chunked(d, "doc_id", "text", chunking.fixed_chunks)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()  # rows of a whole batch were held before
+    want = [(r["doc_id"], i, c) for r in d.collect() if r["text"] and r["text"].strip() for i, c in enumerate(chunking.fixed_chunks(r["text"]))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(len(c) for _, _, c in want) > 2 * chunking.BLOCK_BYTES
