@@ -51,7 +51,7 @@ def _term_counts(terms: list[str]):
     known = pa.array(terms, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):  # a worker holds the words of so many texts
             words = batch.column(1)
             n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             code = pc.index_in(words.flatten(), value_set=known)

@@ -195,3 +195,13 @@ def test_lsh_candidates_are_no_rows(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     rows = found.collect()
     assert {r["id"] for r in rows if r["rank"] == 1} >= {0} and all(r["similarity"] >= 0 for r in rows) and len(rows) == 9
+
+
+def test_term_counts_leave_a_worker_by_slices():
+    import pyarrow as pa
+
+    words = pa.array([["a", "b", "a"] if i % 3 else None for i in range(1200)], pa.list_(pa.string()))
+    out = list(ranking._term_counts(["a", "c"])(iter([pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), words], names=["id", "w"])])))
+    assert [b.num_rows for b in out] == [500, 500, 200]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows[600] == {"id": 600, "dl": 0, "codes": [], "counts": []} and rows[601] == {"id": 601, "dl": 3, "codes": [0], "counts": [2]}
