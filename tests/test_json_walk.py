@@ -42,3 +42,18 @@ def test_texts_with_heading(spark):
         want = "\n".join(["JSON Dataset: set", "", *plain(t)])
         assert got[i] == (want, len(want))
     assert json_leaves(docs.limit(0), "id", "j").collect() == []
+
+
+def test_one_pass_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, t, "set") for i, t in enumerate(ODD)], "id long, j string, title string")
+    for made in (json_leaves(docs, "id", "j"), json_texts(docs, "id", "j", "title")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Scan") == 1  # no level is written, no leaf moved
+
+
+def test_what_is_no_json_and_what_is_blank(spark):
+    odd = ['{"a": 1, "a": 2}', "[NaN]", '{"x": "\\ud83d"}', '["\u0085", " ", " \u0085", "\u0085 "]', "[-0, -0.0, 2e-5]", "[" * 900 + "1" + "]" * 900]
+    got = {}
+    for r in json_leaves(spark.createDataFrame(list(enumerate(odd)), "id long, j string"), "id", "j").collect():
+        got.setdefault(r["key"], []).append((list(r["at"]), r["value"]))
+    assert got == {2: [([1], "?")], 3: [([3], "\u0085 ")], 4: [([0], "-0"), ([1], "-0.0"), ([2], "2e-05")], 5: [([0] * 900, "1")]}
