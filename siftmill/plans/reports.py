@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reports as P
 from ..operators import wide_rows as W
+from ..sources import stages
 from .registry import Tables, query
 
 #: A report on each part, as SQL that Spark and DuckDB read alike.
@@ -21,7 +22,7 @@ _R = f"WITH r AS (SELECT p_partkey, {_REPORT} AS report FROM part)"
 
 
 def reports(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.expr(_REPORT).alias("report"))
+    return stages.spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey").select("p_partkey", F.expr(_REPORT).alias("report"))
 
 
 _BLOCKS = rf"""list_transform(string_split(regexp_replace(report, '(?i)({P.CANDIDATE}[:\s])', chr(1) || '\1', 'g'), chr(1))[2:4], lambda b: regexp_replace(regexp_replace(b, '(?i)^{P.CANDIDATE}[:\s]+', ''), '(?is){P.RATIONALE}.*', ''))"""

@@ -59,3 +59,13 @@ def test_wide_rows_with_blanks_and_no_cells(spark):
     made = W.row_examples(rows, "key", ["{key}?"], ["{component} {value} {system}"], "book", "s").collect()
     assert {r["key"] for r in made} == {2, 4} and all(r["question"] == "AB 7.1 AB" for r in made if r["n"] == 1)
     assert sorted(tuple(r) for r in W.long_form(d, "key", d.columns[1:]).where("key = 4").collect()) == [(4, "comp_a_b", "7.126"), (4, "comp_c", "0"), (4, "t_x", "1 m")]
+
+
+def test_reports_are_dealt_over_all_tasks(spark, sf):
+    from siftmill.plans.registry import Tables
+    from siftmill.plans.reports import reports
+
+    t = Tables(spark, sf)
+    assert t.part.rdd.getNumPartitions() == 1
+    held = reports(t).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 4 and sum(r["count"] for r in held) == t.part.count()
