@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,19 +49,22 @@ def sentence_chunks(text: str, budget: int = 512, overlap: int = 64, count: Call
     """
     out: list[str] = []
     held: list[tuple[str, int]] = []
+    used = 0
     for sentence in sentences_of(text, language):
         n = count(sentence)
-        if held and (n > budget or sum(k for _, k in held) + n > budget):
+        if held and (n > budget or used + n > budget):
             out.append(" ".join(s for s, _ in held))
             room = overlap if n <= budget else -1
             keep = len(held)
             while keep and (room := room - held[keep - 1][1]) >= 0:
                 keep -= 1
             held = held[keep:]
+            used = sum(k for _, k in held)
         if n > budget:
             out += [" ".join(words) for words in _packed(sentence.split(), budget, count)]
         else:
             held.append((sentence, n))
+            used += n
     return [*out, " ".join(s for s, _ in held)] if held else out
 
 
@@ -103,10 +106,10 @@ def paragraph_chunks(text: str, size: int = 1500, separator: str = "\n\n") -> li
     return out
 
 
-def chunked(df: DataFrame, key: str, text: str, chunker: Callable[[str], list[str]]) -> DataFrame:
-    """(key, chunk, content) of every chunk; null and blank texts give none. A worker holds the chunks of ``BLOCK_BYTES`` of text, or of one longer text."""
+def chunked(df: DataFrame, key: str, text: str, chunker: Callable[[str], list[str]], keep: Sequence[str] = ()) -> DataFrame:
+    """(key, chunk, content) of every chunk, and the columns ``keep`` of its row; null and blank texts give none. A worker holds the chunks of ``BLOCK_BYTES`` of text, or of one longer text."""
 
-    kind = df.schema[key].dataType.simpleString()
+    kind = {c: df.schema[c].dataType.simpleString() for c in (key, *keep)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +119,10 @@ def chunked(df: DataFrame, key: str, text: str, chunker: Callable[[str], list[st
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES)))
                 rows = [(k, i, c) for k, t in enumerate(batch.column(1).slice(at, end - at).to_pylist(), at) if t and t.strip() for i, c in enumerate(chunker(t))]
                 row, place, content = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(content, pa.string())], names=[key, "chunk", "content"])
+                row = pa.array(row, pa.int64())
+                kept = [batch.column(i).take(row) for i in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(place, pa.int32()), pa.array(content, pa.string()), *kept], names=[key, "chunk", "content", *keep])
                 at = end
         pa.default_memory_pool().release_unused()
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, chunk int, content string")
+    return df.select(key, text, *keep).mapInArrow(run, ", ".join([f"{key} {kind[key]}, chunk int, content string", *(f"{c} {kind[c]}" for c in keep)]))

@@ -224,10 +224,11 @@ def vectorise(df: DataFrame, key: str, text: str, encoder: Callable[[Column], Co
     from pyspark.ml.feature import IDF, HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    words = df.select(key, X.tokens(F.lower(text)).alias("words"))
-    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=dims).transform(words.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
+    words = df.select(key, F.coalesce(X.tokens(F.lower(text)), F.array().cast("array<string>")).alias("words"))
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=dims).transform(words)
+    counted = written(hashed.select(key, "tf", (F.size("words") > 0).alias("any")), "terms")  # words are cut and hashed once, for the frequencies and for the weights
     weighted = IDF(inputCol="tf", outputCol="weight").fit(counted).transform(counted)
-    return weighted.select(key, F.when(F.size("words") > 0, l2_normalise(vector_to_array("weight"))).alias("vector"))
+    return weighted.select(key, F.when(F.col("any"), l2_normalise(vector_to_array("weight"))).alias("vector"))
 
 
 def same_questions(questions: DataFrame, key: str, *decisive: Column) -> DataFrame:

@@ -111,3 +111,36 @@ def test_chunks_leave_a_worker_by_blocks_of_text(spark):
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()  # rows of a whole batch were held before
     want = [(r["doc_id"], i, c) for r in d.collect() if r["text"] and r["text"].strip() for i, c in enumerate(chunking.fixed_chunks(r["text"]))]
     assert sorted(map(tuple, got.collect())) == sorted(want) and sum(len(c) for _, _, c in want) > 2 * chunking.BLOCK_BYTES
+
+
+def test_cleaning_as_by_the_plain_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from siftmill.functions import text as X
+
+    plain = (r" +", " "), (r"\n{3,}", "\n\n"), (r"\n\d+\n", "\n"), (r"\n- \d+ -\n", "\n"), (r"\n[A-Z\s]{10,}\n", "\n"), (r"https?://[!$-_a-z]+", ""), (r"\S+@\S+", "")
+    texts = ["a@b", "@a", "a@", "@@a b@", "x y@z@ q", "a  b   @ c@d", "\n\n\n\nA 1\n12\n- 3 -\n- 4 -\nHEADER  LINES\nx", "see http://a.b/c?d and https://e  .", " \x85a @b \x85", "", None, "  ", "a\n@b\nc@"]
+    want = F.col("text")
+    for pattern, to in (*plain, *((p, to) for p, to, _ in X.CLEANING[len(plain) :])):
+        want = F.regexp_replace(want, pattern, to)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", X.clean_text(F.col("text")).alias("got"), want.alias("want")).collect()
+    assert len(rows) == len(texts) and all(r["got"] == r["want"] for r in rows), rows
+
+
+def test_ingest_cleans_and_chunks_each_text_once(spark, tmp_path):
+    import pytest
+
+    from siftmill import plans
+
+    docs = spark.createDataFrame([(i, f"Text {i} says this. " * 40, f"src{i % 2}", "en", 9) for i in range(20)], "doc_id long, text string, source string, lang string, n_chars int")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    runs, made = spark.sparkContext.accumulator(0), chunking.sentence_chunks
+
+    def counting(text):
+        runs.add(1)
+        return made(text)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(chunking, "sentence_chunks", counting)
+        log = plans.QUERIES["ingest_pipeline"](spark, str(tmp_path)).collect()
+    assert {r["title"]: r["status"] for r in log} == {"src0": "completed", "src1": "completed"} and runs.value == 20
