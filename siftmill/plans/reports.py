@@ -100,7 +100,7 @@ def wide(t: Tables) -> DataFrame:
 
 def described(t: Tables) -> DataFrame:
     d = wide(t)
-    return W.described(d, W.readable_names(t.spark.createDataFrame(_NAMES, "field string, name string, unit string"), d.columns))
+    return W.described(d, W.readable_names(t.spark.createDataFrame(_NAMES, "field string, name string, unit string"), d.columns), keep=["id"])
 
 
 _G = "printf('%.4g', {0} * (1 + 1e-12))"  # ties away from zero, as Spark rounds

@@ -69,3 +69,24 @@ def test_reports_are_dealt_over_all_tasks(spark, sf):
     assert t.part.rdd.getNumPartitions() == 1
     held = reports(t).groupBy(F.spark_partition_id()).count().collect()
     assert len(held) == 4 and sum(r["count"] for r in held) == t.part.count()
+
+
+def test_wide_rows_keep_ties_odd_numbers_and_plain_doubles(spark):
+    cells = [(1, 0.005, 2.675, 12345.0), (2, 1e23, float("nan"), 1.2345), (3, -1.0, 0.0, -12345.0), (4, float("inf"), 0.125, 1e-7), (None, 7.0, None, None)]
+    d = spark.createDataFrame(cells, "key int, comp_a double, comp_b double, t_x double")
+    as_text = d.select("key", *[F.col(c).cast("string").alias(c) for c in d.columns[1:]])
+    rows = W.described(d, {}, keep=["key"])
+    assert rows.columns == ["key", "parts", "part_text", "values", "value_text"]
+    said = {r["key"]: (r["part_text"], r["value_text"]) for r in rows.collect()}
+    assert said == {1: ("A: 0.01%, B: 2.68%", "t_x=1.235e+04"), 2: ("A: 100000000000000000000000.00%, B: NaN%", "t_x=1.235"), 3: ("", "t_x=-1.235e+04"), 4: ("A: Infinity%, B: 0.13%", "t_x=1e-07"), None: ("A: 7.00%", "")}
+    assert {r["key"]: (r["part_text"], r["value_text"]) for r in W.described(as_text, {}).collect()} == said
+    few = W.described(d.where("key = 1"), {}, most_parts=1).head()
+    assert few["part_text"] == "A: 0.01%" and len(few["parts"]) == 2
+    made = W.row_examples(rows, "key", ["{key}?"], ["{component} {value} {system}"], "book", "s").collect()
+    assert {r["key"] for r in made} == {1, 2, 3, 4, None} and all(r["question"] is None for r in made if r["key"] is None)
+
+
+def test_wide_rows_run_no_lambda_a_row(spark):
+    d = spark.createDataFrame([(1, 2.0, "x")], "key int, comp_a double, t_x string")
+    plan = W.row_examples(W.described(d, {}), "key", ["{key}?"], ["{component}"], "book", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "format_string" not in plan
