@@ -57,13 +57,14 @@ def drop_short(df: DataFrame, column: str, exempt: Column, least: int = 20) -> D
     return df.where(long_enough(column, least) | exempt)
 
 
-def enough_letters(column: str, share: float = 0.5, longer_than: int = 50) -> Column:
+def enough_letters(column: str, share: float = 0.5, longer_than: int = 50, letters: str | None = None) -> Column:
     n = F.length(column)
-    return ~((F.length(X.letters_only(F.col(column))) < n * share) & (n > longer_than))
+    return ~(((F.col(letters) if letters else X.n_letters(F.col(column))) < n * share) & (n > longer_than))
 
 
-def drop_low_letters(df: DataFrame, column: str, exempt: Column, share: float = 0.5, longer_than: int = 50) -> DataFrame:
-    return df.where(enough_letters(column, share, longer_than) | exempt)
+def drop_low_letters(df: DataFrame, column: str, exempt: Column, share: float = 0.5, longer_than: int = 50, letters: str | None = None) -> DataFrame:
+    """``letters`` names a column that has a text's number of letters already."""
+    return df.where(enough_letters(column, share, longer_than, letters) | exempt)
 
 
 def drop_blank(df: DataFrame, column: str) -> DataFrame:

@@ -65,7 +65,8 @@ _LETTERS = r"length(regexp_replace(text, '[^a-zA-Z\x{0600}-\x{06FF} ]', '', 'g')
 
 @query("clean_alpha_ratio", f"SELECT doc_id, {_LETTERS} AS letters FROM documents WHERE NOT ({_LETTERS} < length(text) * 0.8 AND length(text) > 50) OR source = 'src0'")
 def _(t: Tables) -> DataFrame:
-    return filters.drop_low_letters(t.documents, "text", exempt(), 0.8).select("doc_id", F.length(X.letters_only(F.col("text"))).cast("long").alias("letters"))
+    counted = t.documents.select("doc_id", "text", "source", X.n_letters(F.col("text")).alias("letters"))
+    return filters.drop_low_letters(counted, "text", exempt(), 0.8, letters="letters").select("doc_id", "letters")
 
 
 @query("clean_blank", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")

@@ -205,3 +205,12 @@ def test_term_counts_leave_a_worker_by_slices():
     assert [b.num_rows for b in out] == [500, 500, 200]
     rows = [r for b in out for r in b.to_pylist()]
     assert rows[600] == {"id": 600, "dl": 0, "codes": [], "counts": []} and rows[601] == {"id": 601, "dl": 3, "codes": [0], "counts": [2]}
+
+
+def test_letters_are_counted_as_the_pattern_keeps_them(spark):
+    texts = ["abc XYZ", "", None, "دمای شیشه", "\u05ff\u0600\u06ff\u0700\u07ff", "é ñ 12.,\n\t", "😀 a😀b", "\u3042\ufffd z", "a" * 5000]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows = d.select("text", X.n_letters(F.col("text")).alias("got"), F.length(X.letters_only(F.col("text"))).cast("long").alias("want")).collect()
+    assert len(rows) == len(texts) and all(r["got"] == r["want"] for r in rows), rows
+    plan = filters.drop_low_letters(d, "text", F.lit(False))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan
