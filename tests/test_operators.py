@@ -214,3 +214,10 @@ def test_letters_are_counted_as_the_pattern_keeps_them(spark):
     assert len(rows) == len(texts) and all(r["got"] == r["want"] for r in rows), rows
     plan = filters.drop_low_letters(d, "text", F.lit(False))._jdf.queryExecution().executedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_words_are_cut_once_and_without_a_lambda(spark):
+    d = spark.createDataFrame([(1, " a b  a "), (2, None), (3, " ")], "id int, text string")
+    cut = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in cut(ranking.vectorise(d, "id", "text", dims=16)) and "lambda" not in cut(d.select(X.tokens(F.col("text"))))
+    assert [r[0] for r in d.select(X.tokens(F.col("text"))).collect()] == [["a", "b", "a"], None, []]
