@@ -74,7 +74,7 @@ def drop_blank(df: DataFrame, column: str) -> DataFrame:
 def text_quality(text: Column, terms: Sequence[str]) -> Column:
     """0 to 1 from length, word length, number of sentences and a domain term."""
     words, n = X.tokens(text), F.length(text)
-    mean = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / F.size(words)
+    mean = F.try_divide(F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)), F.size(words))  # a blank text has no words
     n_sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: F.trim(s) != ""))
     one = lambda c, v: F.when(c, v).otherwise(0.0)
     return F.round(one((n > 100) & (n < 100_000), 0.3) + one((mean > 3) & (mean < 10), 0.2) + one(n_sentences > 5, 0.2) + one(X.contains_any(text, terms), 0.3), 1)

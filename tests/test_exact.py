@@ -1,5 +1,6 @@
 """Queries whose SQL fixes an exact result, on hand-made tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,11 @@ def test_the_last_day_is_exact(spark, tmp_path, many, name):
     own = [v for at, v in rows if (max(rows)[0] - at).total_seconds() < 86_400]
     (r,) = ask(spark, tmp_path, name, events=wide)
     assert (r["n"], r["p50"], r["p95"]) == (len(own), rank(own, 50), rank(own, 95))
+
+
+def test_the_quality_of_texts_without_a_word(spark, tmp_path):
+    texts = ["", " \n\t ", None, "some words tion", ". ! ?", "A sentence of words. " * 8]
+    got = ask(spark, tmp_path, "text_quality", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(plans.ORACLE_SQL["text_quality"]).fetchall())
