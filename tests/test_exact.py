@@ -20,6 +20,11 @@ def test_a_title_keeps_digits_at_its_ends(spark, tmp_path):
     assert ask(spark, tmp_path, "doc_metadata", documents=rows)[0]["title"] == "0 a title that ends in 10"
 
 
+def test_a_title_may_stand_after_many_short_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "short\n" * 40 + "the title is in line 41\n" + "x" * 300, "en")], "doc_id long, text string, lang string")
+    assert ask(spark, tmp_path, "doc_metadata", documents=rows)[0]["title"] == "the title is in line 41"
+
+
 def test_a_share_is_rounded_half_up(spark):
     val = lambda n: dataset.exact_holdout(spark.range(n), "id", "c", 0.02, 1).where("split = 'val'").count()
     assert [val(n) for n in (74, 75, 100, 124, 125)] == [1, 2, 2, 2, 3]
