@@ -2,6 +2,7 @@
 
 import pytest
 import io
+import json
 import shutil
 
 import numpy as np
@@ -32,6 +33,12 @@ def test_readers_on_odd_files(spark, tmp_path):
         assert got[name]["error"] and got[name]["text"] is None
 
 
+def test_a_json_file_s_lists_are_read_whole(spark, tmp_path):
+    (tmp_path / "long.json").write_text(json.dumps({"a": list(range(1200)), "b": [[i] for i in range(501)]}))
+    lines = B.extracted(spark, str(tmp_path)).head()["text"].split("\n")[2:]
+    assert lines == [f"a[{i}]: {i}" for i in range(1200)] + [f"b[{i}][0]: {i}" for i in range(501)]
+
+
 def test_page_lines_keep_digits_at_their_ends(spark):
     d = spark.createDataFrame([("Room 10\nLine 1 of 11\n 1212 \nPage 3\nab\n22 is two",)], "text string")
     assert d.select(X.clean_page_lines(F.col("text"))).head()[0] == "Room 10\nLine 1 of 11\n22 is two"
