@@ -46,13 +46,18 @@ def _items(text: Column, heading: str, stop: str, least: int = 15) -> Column:
     return F.when(text.rlike(inside), F.transform(whole, lambda x: F.struct(x.alias("all"), stripped(lines(x)[0]).alias("line"), rest(x).alias("rest"))))
 
 
-def root_causes(text: Column, most: int = 5) -> Column:
-    """array<struct<cause,likelihood,explanation>> of the numbered or bulleted causes; medium likelihood where none is named, the cause itself where nothing explains it."""
+def root_causes(text: Column, most: int | None = 5, cause: int | None = 200, explanation: int | None = 500) -> Column:
+    """array<struct<cause,likelihood,explanation>> of the numbered or bulleted causes; medium likelihood where none is named, the cause itself where nothing explains it.
+
+    ``most`` causes, with so many characters of ``cause`` and ``explanation``; with None all of them.
+    """
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
     line = lambda e: stripped(F.regexp_replace(e["line"], r"(?i)\s*[-–]\s*(HIGH|MEDIUM|LOW)\s*\z", ""))
     rate = lambda e: F.when(e["all"].rlike(r"(?i)\bHIGH\b"), "high").when(e["all"].rlike(r"(?i)\bLOW\b"), "low").otherwise("medium")
-    why = lambda e: F.when(e["rest"] != "", F.substring(e["rest"], 1, 500)).otherwise(line(e))
+    why = lambda e: F.when(e["rest"] != "", cut(e["rest"], explanation)).otherwise(line(e))
     found = F.filter(_items(text, "ROOT CAUSES?", "[A-Z3-9]"), lambda e: line(e) != "")
-    return F.slice(F.transform(found, lambda e: F.struct(F.substring(line(e), 1, 200).alias("cause"), rate(e).alias("likelihood"), why(e).alias("explanation"))), 1, most)
+    causes = F.transform(found, lambda e: F.struct(cut(line(e), cause).alias("cause"), rate(e).alias("likelihood"), why(e).alias("explanation")))
+    return causes if most is None else F.slice(causes, 1, most)
 
 
 def corrective_actions(text: Column, most: int = 6, usual: str = "Defect reduction/elimination") -> Column:

@@ -40,17 +40,17 @@ def _(t: Tables) -> DataFrame:
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-def _twin(heading: str, stop: str, marks: str, most: int) -> str:
+def _twin(heading: str, stop: str, marks: str, most: int | None = None) -> str:
     """DuckDB: the items of a section, a row each, numbered in order."""
     item, line, rest = _STRIP.format("x"), _STRIP.format(f"regexp_replace({_STRIP.format('string_split(x, chr(10))[1]')}, '(?i)\\s*[-–]\\s*({marks})\\s*$', '')"), f"array_to_string(list_filter(list_transform(string_split(x, chr(10))[2:], lambda y: {_STRIP.format('y')}), lambda y: y <> ''), ' ')"
     return rf"""{_R}, s AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(regexp_extract(report, '(?is){heading}[:\s]*(.*?)(?:\n\n{stop}|\z)', 1), '{P.ITEM}'), lambda x: {item}), lambda x: length(x) >= 15) AS xs FROM r),
 e AS (SELECT p_partkey, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM s), f AS (SELECT p_partkey, k, x, {line} AS line, {rest} AS rest FROM e),
-g AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY k)::INT AS n FROM f WHERE line <> '' QUALIFY n <= {most})"""
+g AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY k)::INT AS n FROM f WHERE line <> ''{f" QUALIFY n <= {most}" if most else ""})"""
 
 
-@query("parse_root_causes", _twin("ROOT CAUSES?", "[A-Z3-9]", "HIGH|MEDIUM|LOW", 5) + r""" SELECT p_partkey, n, line[1:200] AS cause, CASE WHEN regexp_matches(x, '(?i)\bHIGH\b') THEN 'high' WHEN regexp_matches(x, '(?i)\bLOW\b') THEN 'low' ELSE 'medium' END AS likelihood, CASE WHEN rest <> '' THEN rest[1:500] ELSE line END AS explanation FROM g""")
+@query("parse_root_causes", _twin("ROOT CAUSES?", "[A-Z3-9]", "HIGH|MEDIUM|LOW") + r""" SELECT p_partkey, n, line AS cause, CASE WHEN regexp_matches(x, '(?i)\bHIGH\b') THEN 'high' WHEN regexp_matches(x, '(?i)\bLOW\b') THEN 'low' ELSE 'medium' END AS likelihood, CASE WHEN rest <> '' THEN rest ELSE line END AS explanation FROM g""")
 def _(t: Tables) -> DataFrame:
-    d = reports(t).select("p_partkey", F.posexplode(P.root_causes(F.col("report"))).alias("n", "c"))
+    d = reports(t).select("p_partkey", F.posexplode(P.root_causes(F.col("report"), None, None, None)).alias("n", "c"))
     return d.select("p_partkey", (F.col("n") + 1).alias("n"), "c.*")
 
 

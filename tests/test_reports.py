@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from siftmill.functions import reports as P
@@ -90,3 +91,16 @@ def test_wide_rows_run_no_lambda_a_row(spark):
     d = spark.createDataFrame([(1, 2.0, "x")], "key int, comp_a double, t_x string")
     plan = W.row_examples(W.described(d, {}), "key", ["{key}?"], ["{component}"], "book", "s")._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and "format_string" not in plan
+
+
+def test_all_root_causes_of_a_report_are_parsed(spark, tmp_path):
+    from siftmill import plans
+
+    part = spark.createDataFrame([(1, "a name " * 40, "Brand#1", "TYPE " * 150, 47)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((tuple(r) for r in plans.QUERIES["parse_root_causes"](spark, str(tmp_path)).collect()), key=lambda r: r[1])
+    assert [r[1] for r in got] == list(range(1, len(got) + 1)) and len(got) == 9  # four and five more
+    assert len(got[0][2]) > 250 and len(got[0][4]) > 700  # neither cause nor explanation is cut
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(con.execute(plans.ORACLE_SQL["parse_root_causes"]).fetchall(), key=lambda r: r[1])
