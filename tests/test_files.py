@@ -88,3 +88,29 @@ def test_a_key_s_texts_are_not_one_task_s(spark, tmp_path):
     assert got == {(".txt", True, 2), (".json", True, 7), (".parquet", False, 2)}
     assert len(list((tmp_path / "files" / "b" / "d" / "lang=en").glob("*.parquet"))) > 1
     assert spark.read.parquet(f"file://{tmp_path}/files/b/d").count() == spark.read.text(f"file://{tmp_path}/files/a").count() == spark.read.json(f"file://{tmp_path}/files/b/c").count() == 400
+
+
+def test_a_streamed_file_is_taken_by_its_parts(spark, tmp_path):
+    pages = spark.range(6000).select(F.when(F.col("id") % 2 == 0, "even.pdf").otherwise("odd.pdf").alias("name"), F.concat(F.col("id"), F.lit(" ۱"), F.repeat(F.lit("x"), 1000)).alias("page"))
+    B.write_pages(pages.union(spark.createDataFrame([("even.pdf", None), ("none.pdf", None)], "name string, page string")), f"file://{tmp_path}/in/deep")
+    whole = {p.name: p.read_bytes() for p in (tmp_path / "in" / "deep").iterdir() if p.suffix == ".pdf"}
+    assert {k: len(v.split(b"\f")) for k, v in whole.items()} == {"even.pdf": 3002, "odd.pdf": 3001, "none.pdf": 2}
+    assert list(B.stream_pages("", io.BytesIO(whole["even.pdf"]))) == B.page_parts("", whole["even.pdf"])
+    assert list(B.stream_pages("", io.BytesIO(b""))) == B.page_parts("", b"") and list(B.stream_pages("", io.BytesIO(b"\f" * 3))) == B.page_parts("", b"\f" * 3)
+
+    def read(title, file):
+        for row in B.stream_pages(title, file):
+            if title == "odd" and row[1] == 2500:
+                raise ValueError("late")
+            yield row
+
+    readers, store = {".pdf": B.Streamed(read)}, str(tmp_path / "out")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/in").select("path", "content")
+    plan = B.file_parts(files, readers)._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan  # the scan's schema: no file is loaded
+    chunk = lambda d: d.select("path", F.col("position").alias("chunk"), F.col("text").alias("content")).where(F.col("text") != "")
+    Q.watch(spark, f"{tmp_path}/in", store, chunk, readers, by_part=True).awaitTermination()
+    assert Q.retry(spark, store, chunk, readers, by_part=True) == 2
+    log = sorted((r["path"].split("/")[-1], r["attempt"], r["status"], r["chunk_count"], r["error"]) for r in Q.log(spark, store).collect())
+    assert log == [("even.pdf", 1, "completed", 3000, None)] + [("none.pdf", i, "failed", 0, "no chunks") for i in (1, 2)] + [("odd.pdf", i, "failed", 0, "ValueError: late") for i in (1, 2)]
+    assert Q.chunks(spark, store).select("path", "content").distinct().count() == 3000
